@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from graphloom.llm import tokenize
+from graphloom.llm import pairs, syntax, tokenize
 from graphloom.sources.tables import table
 
 
@@ -19,5 +19,25 @@ def p7_roundtrip(spark: SparkSession, d: str) -> DataFrame:
     return docs.join(back, "doc_id").where("coalesce(text, '') <> back").select("doc_id")
 
 
-QUERIES = {"p7_ids": p7_ids, "p7_roundtrip": p7_roundtrip}
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    return syntax.broken_files(table(spark, d, "source_files"))
+
+
+def p3_errors(spark: SparkSession, d: str) -> DataFrame:
+    return syntax.error_rows(table(spark, d, "source_files"))
+
+
+def p3_rates(spark: SparkSession, d: str) -> DataFrame:
+    return syntax.acceptance(table(spark, d, "source_files"))
+
+
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    return pairs.found_pairs(table(spark, d, "source_files"))
+
+
+def p6_pairs(spark: SparkSession, d: str) -> DataFrame:
+    return pairs.function_pairs(table(spark, d, "source_files")).distinct()
+
+
+QUERIES = {"p6_found": p6_found, "p6_pairs": p6_pairs, "p3_found": p3_found, "p3_errors": p3_errors, "p3_rates": p3_rates, "p7_ids": p7_ids, "p7_roundtrip": p7_roundtrip}
 ORACLES = {"p7_roundtrip": "SELECT doc_id FROM documents WHERE false"}
