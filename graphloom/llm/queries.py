@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from graphloom.llm import pairs, syntax, tokenize
+from graphloom.llm import leaks, pairs, spam, syntax, tokenize
 from graphloom.sources.tables import table
 
 
@@ -39,5 +39,23 @@ def p6_pairs(spark: SparkSession, d: str) -> DataFrame:
     return pairs.function_pairs(table(spark, d, "source_files")).distinct()
 
 
-QUERIES = {"p6_found": p6_found, "p6_pairs": p6_pairs, "p3_found": p3_found, "p3_errors": p3_errors, "p3_rates": p3_rates, "p7_ids": p7_ids, "p7_roundtrip": p7_roundtrip}
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    return leaks.leak_pairs(table(spark, d, "documents"), table(spark, d, "eval_items"))
+
+
+def p8_items(spark: SparkSession, d: str) -> DataFrame:
+    """Documents that each leaked item stands in, and its longest passage."""
+    found = leaks.leaks(table(spark, d, "documents"), table(spark, d, "eval_items"))
+    return found.groupBy("item_id").agg(F.count("*").alias("documents"), F.max("words").alias("most_words"))
+
+
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    return spam.spam_pages(table(spark, d, "documents"))
+
+
+def p9_scores(spark: SparkSession, d: str) -> DataFrame:
+    return spam.spam_scores(table(spark, d, "documents"))
+
+
+QUERIES = {"p8_found": p8_found, "p8_items": p8_items, "p9_found": p9_found, "p9_scores": p9_scores, "p6_found": p6_found, "p6_pairs": p6_pairs, "p3_found": p3_found, "p3_errors": p3_errors, "p3_rates": p3_rates, "p7_ids": p7_ids, "p7_roundtrip": p7_roundtrip}
 ORACLES = {"p7_roundtrip": "SELECT doc_id FROM documents WHERE false"}
