@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from graphloom.llm import leaks, pairs, spam, syntax, tokenize
+from graphloom.llm import leaks, pairs, prose, spam, syntax, tokenize
 from graphloom.sources.tables import table
 
 
@@ -57,5 +57,13 @@ def p9_scores(spark: SparkSession, d: str) -> DataFrame:
     return spam.spam_scores(table(spark, d, "documents"))
 
 
-QUERIES = {"p8_found": p8_found, "p8_items": p8_items, "p9_found": p9_found, "p9_scores": p9_scores, "p6_found": p6_found, "p6_pairs": p6_pairs, "p3_found": p3_found, "p3_errors": p3_errors, "p3_rates": p3_rates, "p7_ids": p7_ids, "p7_roundtrip": p7_roundtrip}
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    return prose.found_prose(table(spark, d, "source_files"), table(spark, d, "documents"))
+
+
+def p4_shares(spark: SparkSession, d: str) -> DataFrame:
+    return prose.prose_shares(table(spark, d, "source_files"), table(spark, d, "documents"))
+
+
+QUERIES = {"p4_found": p4_found, "p4_shares": p4_shares, "p8_found": p8_found, "p8_items": p8_items, "p9_found": p9_found, "p9_scores": p9_scores, "p6_found": p6_found, "p6_pairs": p6_pairs, "p3_found": p3_found, "p3_errors": p3_errors, "p3_rates": p3_rates, "p7_ids": p7_ids, "p7_roundtrip": p7_roundtrip}
 ORACLES = {"p7_roundtrip": "SELECT doc_id FROM documents WHERE false"}
