@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from graphloom.llm import leaks, pairs, prose, spam, syntax, tokenize
+from graphloom.llm import leaks, pairs, prose, secrets, spam, syntax, tokenize
 from graphloom.sources.tables import table
 
 
@@ -65,5 +65,14 @@ def p4_shares(spark: SparkSession, d: str) -> DataFrame:
     return prose.prose_shares(table(spark, d, "source_files"), table(spark, d, "documents"))
 
 
-QUERIES = {"p4_found": p4_found, "p4_shares": p4_shares, "p8_found": p8_found, "p8_items": p8_items, "p9_found": p9_found, "p9_scores": p9_scores, "p6_found": p6_found, "p6_pairs": p6_pairs, "p3_found": p3_found, "p3_errors": p3_errors, "p3_rates": p3_rates, "p7_ids": p7_ids, "p7_roundtrip": p7_roundtrip}
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    return secrets.credentials(table(spark, d, "source_files"), table(spark, d, "documents"))
+
+
+def p2_redacted(spark: SparkSession, d: str) -> DataFrame:
+    """Files with credentials, redacted."""
+    return secrets.redacted(table(spark, d, "source_files"), table(spark, d, "documents")).where("credentials > 0").distinct()
+
+
+QUERIES = {"p2_found": p2_found, "p2_redacted": p2_redacted, "p4_found": p4_found, "p4_shares": p4_shares, "p8_found": p8_found, "p8_items": p8_items, "p9_found": p9_found, "p9_scores": p9_scores, "p6_found": p6_found, "p6_pairs": p6_pairs, "p3_found": p3_found, "p3_errors": p3_errors, "p3_rates": p3_rates, "p7_ids": p7_ids, "p7_roundtrip": p7_roundtrip}
 ORACLES = {"p7_roundtrip": "SELECT doc_id FROM documents WHERE false"}
