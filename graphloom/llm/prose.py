@@ -13,14 +13,14 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from graphloom.llm.arrow import map_rows, strings
+from graphloom.llm.arrow import bounded_sample, map_rows, strings
 from graphloom.llm.lex import SPANS, language_of
 from graphloom.llm.syntax import GRAMMARS, syntax_errors
 
 LANGS = ("en", "de", "fr", "es", "pt", "it", "ru", "zh", "ja")
 STATES = ("code", *LANGS)
 S = len(STATES)
-#: The model is fitted on at most so many documents and source files, those with the least hashes of their ids.
+#: The model is fitted on at most so many documents and source files, chosen by the hashes of their ids.
 TRAIN_DOCS, TRAIN_FILES = 6000, 600
 #: Log probability of a change of state, and the part of a file's letters that a language must have.
 SWITCH, LEAST_SHARE = -9.0, 0.05
@@ -176,14 +176,14 @@ _CODE_LINE = re.compile(r"[{}=;|`]|https?:|^\s*(?:[#$>]|\d+[.)])")
 
 def train(documents: DataFrame, files: DataFrame, train_docs: int = TRAIN_DOCS, train_files: int = TRAIN_FILES) -> np.ndarray:
     """Fit on a bounded sample of labelled documents and of source files; the samples follow from the ids alone."""
-    least = documents.where("lang IS NOT NULL AND length(text) > 0").select("lang", "text", F.xxhash64("doc_id").alias("_h")).orderBy("_h").limit(train_docs)
+    least = bounded_sample(documents, "doc_id", train_docs).where("lang IS NOT NULL AND length(text) > 0")
     docs = []
     for lang, text in least.select("lang", "text").toLocalIterator():
         prose = "\n".join(x for x in text.splitlines() if len(x) > 15 and not _CODE_LINE.search(x))
         if prose:
             docs.append((lang.strip().lower(), prose))
     code = []
-    some = files.where("length(content) > 0").select("file_path", "language", "content", F.xxhash64("file_id").alias("_h")).orderBy("_h").limit(train_files)
+    some = bounded_sample(files, "file_id", train_files).where("length(content) > 0")
     for path, lang, text in some.select("file_path", "language", "content").toLocalIterator():
         if (lang := language_of(lang, path)) in SPANS:
             # code without its comments and literals; literals without blanks are code too
