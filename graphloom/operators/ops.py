@@ -44,7 +44,7 @@ def recent_mean(events: DataFrame, rows: int = 100) -> DataFrame:
     """For each user and event the mean value of the last ``rows`` events."""
     w = W.partitionBy("user_id").orderBy("ts", "event_id").rowsBetween(-(rows - 1), 0)
     micro = F.round(F.col("value") * 1_000_000).cast("long")  # whole numbers, so that sums don't depend on their order
-    return events.select("event_id", "user_id", F.round(F.sum(micro).over(w) / F.count("value").over(w) / 1_000_000, 4).alias("recent_mean"))
+    return events.select("event_id", "user_id", (F.sum(micro).over(w) / F.count("value").over(w) / 1_000_000).alias("recent_mean"))
 
 
 def alerts(series: DataFrame, at: str, value: str, threshold: float, duration: int, silence: int = 300, by: list[str] | None = None) -> DataFrame:

@@ -143,10 +143,10 @@ def _(s, d):
     return build.merge_nodes(nodes(s, d))
 
 
-@query("b9_compressed", q.with_(q.NODES) + "SELECT graph_id, id, (CASE WHEN label <> '' THEN 1 ELSE 0 END + CASE WHEN type <> '' THEN 1 ELSE 0 END + CASE WHEN element_id <> '' THEN 1 ELSE 0 END + CASE WHEN name <> '' THEN 1 ELSE 0 END + CASE WHEN file_path <> '' THEN 1 ELSE 0 END + CASE WHEN visibility <> '' THEN 1 ELSE 0 END + CASE WHEN docstring <> '' THEN 1 ELSE 0 END) AS properties, CASE WHEN docstring <> '' THEN least(length(docstring), 1003) END AS doc_length FROM nodes_c")
+@query("b9_compressed", q.with_(q.NODES) + "SELECT graph_id, id, (CASE WHEN label <> '' THEN 1 ELSE 0 END + CASE WHEN type <> '' THEN 1 ELSE 0 END + CASE WHEN element_id <> '' THEN 1 ELSE 0 END + CASE WHEN name <> '' THEN 1 ELSE 0 END + CASE WHEN file_path <> '' THEN 1 ELSE 0 END + CASE WHEN visibility <> '' THEN 1 ELSE 0 END + CASE WHEN docstring <> '' THEN 1 ELSE 0 END) AS properties, CASE WHEN docstring <> '' THEN least(length(docstring), 1003) ELSE -1 END AS doc_length FROM nodes_c")
 def _(s, d):
     p = build.compress_properties(nodes(s, d))
-    return p.select("graph_id", "id", F.size("props").alias("properties"), F.length(F.col("props")["docstring"]).alias("doc_length"))
+    return p.select("graph_id", "id", F.size("props").alias("properties"), F.coalesce(F.length(F.col("props")["docstring"]), F.lit(-1)).alias("doc_length"))
 
 
 @query("o2_similar")
@@ -701,7 +701,7 @@ def _(s, d):
     return ops.hourly_metrics(table(s, d, "events")).withColumn("hour", F.date_format("hour", "yyyy-MM-dd HH"))
 
 
-@query("m4_recent_mean", "SELECT event_id, user_id, round(sum(round(value * 1000000)::BIGINT) OVER w / count(value) OVER w / 1000000, 4) AS recent_mean FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN 99 PRECEDING AND CURRENT ROW)")
+@query("m4_recent_mean", "SELECT event_id, user_id, sum(round(value * 1000000)::BIGINT) OVER w / count(value) OVER w / 1000000 AS recent_mean FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN 99 PRECEDING AND CURRENT ROW)")
 def _(s, d):
     return ops.recent_mean(table(s, d, "events"))
 
