@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+_WRITTEN: list[str] = []
+
 
 def get_session(app: str = "graphloom", cpus: str | int = "*") -> SparkSession:
     """A local session with the settings that the tests and the bench use."""
@@ -19,29 +23,39 @@ def get_session(app: str = "graphloom", cpus: str | int = "*") -> SparkSession:
         .config("spark.driver.memory", os.environ.get("GRAPHLOOM_DRIVER_MEMORY", "8g"))
         .config("spark.ui.enabled", "false")
         .getOrCreate()
-    )
+    )
+
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that all executors share, as ``spark.checkpoint.dir`` names it; one of our own only where that is unset
+    (tests), which is removed at the end of the process."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if folder is None:
+        folder = tempfile.mkdtemp(prefix="graphloom-")
+        spark.conf.set("spark.checkpoint.dir", folder)
+        atexit.register(shutil.rmtree, folder, True)
+    return folder
 
-def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder of the session; one of our own only where none is set (tests).
 
-    ``spark.checkpoint.dir`` is read from the session first, so that on a cluster
-    checkpoints always go to the storage that all executors share.
+def scratch_table(df: DataFrame, label: str = "t") -> DataFrame:
+    """Write ``df`` to the shared folder and read it back: a cut of the lineage that survives lost executors.
+
+    Loops use it rather than ``DataFrame.checkpoint``, which carries the estimated size of the plan along: where a table
+    joins itself in every round the estimate is squared each time. A written table has the true size of its files, so
+    joins pick their side to broadcast by a checked size.
     """
-    sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="graphloom-"))
-    return sc.getCheckpointDir()
+    path = f"{shared_folder(df.sparkSession).rstrip('/')}/{label}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    _WRITTEN.append(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def checkpoint(df: DataFrame) -> DataFrame:
-    """Cut the lineage through the shared folder (never an executor-local copy)."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+checkpoint = scratch_table
 
 
-def scratch_table(df: DataFrame, label: str = "t") -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: a stage boundary that survives lost executors."""
-    path = f"{ensure_checkpoint_dir(df.sparkSession)}/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+def clear_scratch(spark: SparkSession) -> None:
+    """Remove all tables that this process wrote with ``scratch_table``; frames built on them can't be read afterwards."""
+    jvm = spark._jvm
+    while _WRITTEN:
+        p = jvm.org.apache.hadoop.fs.Path(_WRITTEN.pop())
+        p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)

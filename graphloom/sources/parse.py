@@ -23,7 +23,13 @@ def project_files(spark: SparkSession, path: str) -> DataFrame:
     """Source files under a folder as file_path, content; ignored folders and large files are filtered before they are read."""
     raw = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.{py,java,js,jsx,ts,tsx}").load(path)
     raw = raw.where(~F.col("path").rlike(IGNORED) & (F.col("length") < MAX_BYTES))
-    text = F.when(F.is_valid_utf8(F.col("content").cast("string")), F.decode("content", F.lit("UTF-8"))).otherwise(F.decode("content", F.lit("GBK")))
+
+    @F.pandas_udf("string")
+    def gbk(x):
+        return x.map(lambda b: None if b is None else bytes(b).decode("gbk", errors="replace"))
+
+    plain = F.col("content").cast("string")
+    text = F.when(F.is_valid_utf8(plain), plain).otherwise(gbk("content"))
     return raw.select(F.col("path").alias("file_path"), text.alias("content"))
 
 
