@@ -651,7 +651,7 @@ class File:
     FOLLOW = {"if": {"elif", "else"}, "elif": {"elif", "else"}, "for": {"else"}, "while": {"else"}, "try": {"except", "finally"}, "except": {"except", "else", "finally"}, "else": {"finally"}}
 
     def __init__(self, text: str):
-        self.tokens = ["\n", *TOKEN["python"].findall(text[1:] if text[:1] == "\ufeff" else text)]
+        self.tokens = TOKEN["python"].findall("\n" + text.removeprefix("\ufeff"))
         letters = [*map(LETTERS["python"].__getitem__, self.tokens), "N"]
         ends = [k for k, c in enumerate(letters) if c == "N"]
         self.errors: list[tuple[int, str]] = []  # token, cause

@@ -160,7 +160,7 @@ def _boundary(masked: str, at: int, marks: str = ";{}") -> int:
     """The start of the declaration that reaches to ``at``: after the last mark, with blanks skipped."""
     k = max(masked.rfind(c, 0, at) for c in marks) + 1
     if k and masked[k - 1] == "}" and masked[k:at].lstrip()[:1] == ")":  # braces in an annotation
-        k = max(masked.rfind("@", 0, k), 0)
+        return _boundary(masked, max(masked.rfind("@", 0, k), 0), marks)
     while k < at and masked[k].isspace():
         k += 1
     return k

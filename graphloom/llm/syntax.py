@@ -28,10 +28,9 @@ def syntax_errors(language: str, text: str) -> list[tuple[int, str]]:
         return [(1, "nested too deeply")]
     if not found:
         return []
-    starts = [m.start(1) for m in TOKEN[language].finditer(text[1:] if language == "python" and text[:1] == "\ufeff" else text)]
-    if language == "python":
-        starts.insert(0, 0)
-    line = lambda k: text.count("\n", 0, starts[min(k, len(starts) - 1)]) + 1 if starts else 1
+    body = "\n" + text.removeprefix("\ufeff") if language == "python" else text
+    starts = [m.start(1) for m in TOKEN[language].finditer(body)]
+    line = lambda k: body.count("\n", 0, starts[min(k, len(starts) - 1)]) + (language != "python") if starts else 1
     return sorted((line(k), why) for k, why in found)
 
 
