@@ -258,7 +258,9 @@ def test_spam_on_spark(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text")
     kw = ", ".join(["best free online parser download", "cheap code viewer price"] * 30)
     links = "\n".join(f"- [free code tool {k}](https://a{k}.example/x)" for k in range(30))
-    prose_list = "\n".join(f"- [tool {k}](https://a{k}.example/x): This entry says in a full sentence what the tool does for you." for k in range(20))
+    rnd, nouns = random.Random(1), "report parser cache editor index file tool graph reader table writer queue store".split()
+    sentence = lambda: f"The {rnd.choice(nouns)} {rnd.choice(['keeps', 'reads', 'drops', 'finds'])} {rnd.choice(['a', 'each', 'the old'])} {rnd.choice(nouns)} {rnd.choice(['when', 'because', 'before'])} it {rnd.choice(['has', 'sees', 'needs'])} {rnd.choice(['no', 'one', 'a new'])} {rnd.choice(nouns)}."
+    prose_list = "\n".join(f"- [{rnd.choice(nouns)}](https://a{k}.example/x): {sentence()}" for k in range(20))
     code = "```\n" + "def f(x):\n    return g(x, y=1)\n" * 20 + "```\n"
     table = "| metric | value |\n|---|---|\n" + "\n".join(f"| cache size | {k}81 |" for k in range(30))
     tags = "It is safer to read the whole report before you change the parser. We did so twice and found that it works as the old one did.\n\n#code #tools"
