@@ -47,6 +47,21 @@ def recent_mean(events: DataFrame, rows: int = 100) -> DataFrame:
     return events.select("event_id", "user_id", (F.sum(micro).over(w) / F.count("value").over(w) / 1_000_000).alias("recent_mean"))
 
 
+def recent_summary(events: DataFrame, minutes: int = 10, by: str = "event_type") -> DataFrame:
+    """Mean and greatest value per kind over the last minutes of the log, and a status by thresholds 80 and 95."""
+    last = events.agg(F.max("ts").alias("t")).scalar()
+    x = events.where(F.col("ts") > last - F.expr(f"INTERVAL {minutes} MINUTES")).groupBy(by).agg(F.count("*").alias("n"), F.round(F.avg("value"), 6).alias("mean"), F.max("value").alias("max"))
+    return x.withColumn("status", F.when(F.col("mean") >= 95, "critical").when(F.col("mean") >= 80, "warning").otherwise("normal"))
+
+
+def growth(events: DataFrame, minutes: int = 60, least: int = 10) -> DataFrame:
+    """Windows in which a kind has at least ``least`` events more than in its window before."""
+    win = F.window("ts", f"{minutes} minutes")
+    x = events.groupBy("event_type", win.alias("w")).agg(F.count("*").alias("n")).select("event_type", F.col("w.start").alias("start"), "n")
+    x = x.withColumn("before", F.lag("n").over(W.partitionBy("event_type").orderBy("start")))  # one row a window
+    return x.where(F.col("n") - F.col("before") >= least)
+
+
 def alerts(series: DataFrame, at: str, value: str, threshold: float, duration: int, silence: int = 300, by: list[str] | None = None) -> DataFrame:
     """Alerts of a condition value > threshold that held for ``duration`` seconds: run start, first alert and their number.
 

@@ -80,6 +80,26 @@ def calls(edges: DataFrame, k: int = 10) -> DataFrame:
     return top.groupBy("graph_id", "id").agg(F.array_join(F.array_sort(F.collect_list("caller")), ",").alias("callers")).join(n, ["graph_id", "id"])
 
 
+def call_chains(edges: DataFrame, ids: DataFrame, k: int = 10) -> DataFrame:
+    """For each of a few nodes (graph_id, id) its first callers and callees as ``a,b,x`` and ``x,c,d``."""
+    e = edges.where(F.lower("type").isin("calls", "uses", "depends"))
+    back = e.select("graph_id", "type", F.col("source_id").alias("target_id"), F.col("target_id").alias("source_id"))
+    up = calls(e.join(ids.withColumnRenamed("id", "target_id"), ["graph_id", "target_id"], "left_semi"), k).select("graph_id", "id", F.col("callers").alias("up"))
+    down = calls(back.join(ids.withColumnRenamed("id", "target_id"), ["graph_id", "target_id"], "left_semi"), k).select("graph_id", "id", F.col("callers").alias("down"))
+    x = ids.join(up, ["graph_id", "id"], "left").join(down, ["graph_id", "id"], "left")
+    return x.select("graph_id", "id", F.concat_ws(",", "up", "id").alias("callers"), F.concat_ws(",", "id", "down").alias("callees"))
+
+
+def answer_context(questions: DataFrame, nodes: DataFrame, k: int = 20) -> DataFrame:
+    """Questions (question_id, text) with type, the k best nodes and the confidence: what a language model is asked with."""
+    q = questions.select("question_id", question_type(F.col("text")).alias("question_type"), keywords(F.col("text")).alias("keywords"))
+    m = match_names(q, nodes)
+    best = rank_matches(m, nodes, k).groupBy("question_id").agg(F.array_sort(F.collect_list(F.struct("rank", "graph_id", "id", "name", "score"))).alias("nodes"))
+    seen = m.groupBy("question_id").agg(F.count("*").alias("_h"), F.countDistinct("keyword").alias("_w"), F.countDistinct("graph_id", "id").alias("_e"))
+    out = q.join(best, "question_id", "left").join(seen, "question_id", "left")
+    return out.select("question_id", "question_type", "keywords", "nodes", F.coalesce(confidence(F.col("_h"), F.col("_w"), F.col("_e")), F.lit(0.0)).alias("confidence"))
+
+
 def confidence(hits: Column, words: Column, elements: Column) -> Column:
     """Hits by keywords and elements, raised for three elements and more, at most 1."""
     raw = hits / (words * elements) * F.when(elements >= 3, 1.2).otherwise(1.0)

@@ -42,23 +42,29 @@ def reach(step: DataFrame, roots: DataFrame, max_depth: int) -> DataFrame:
 
 
 def paths(step: DataFrame, roots: DataFrame, targets: DataFrame, max_nodes: int = 5) -> DataFrame:
-    """All simple paths of at most max_nodes nodes from roots to targets: graph_id, root, target, path, length, total_weight.
+    """All simple paths of at most max_nodes nodes from roots to targets: graph_id, root, target, path, length,
+    total_weight (sum of strengths), strength (product of hop weights) and types (of the hops).
 
     Parallel edges give rows of their own; a target ends a path. targets: graph_id, target.
     """
-    front = checkpoint(roots.select("graph_id", "root", F.col("root").alias("id"), F.array("root").alias("path"), F.lit(0.0).alias("weight")).distinct())
+    at = roots.select("graph_id", "root", F.col("root").alias("id"), F.array("root").alias("path"), F.lit(0.0).alias("weight"), F.lit(1.0).alias("product"), F.expr("CAST(array() AS array<string>)").alias("types"))
+    front = checkpoint(at.distinct())
     goal = targets.select("graph_id", F.col("target").alias("id")).distinct().withColumn("_goal", F.lit(True))
     found = front.join(goal, ["graph_id", "id"], "left_semi")
     front = front.join(goal, ["graph_id", "id"], "left_anti")
+    hop = lookup(HOP_WEIGHT, F.col("type"), OTHER_HOP) * F.col("strength")
     for _ in range(1, max_nodes):
         new = step.join(small(front), ["graph_id", "id"]).where(~F.array_contains("path", F.col("next")))
-        new = new.select("graph_id", "root", F.col("next").alias("id"), F.concat("path", F.array("next")).alias("path"), (F.col("weight") + F.col("strength")).alias("weight"))
+        new = new.select(
+            "graph_id", "root", F.col("next").alias("id"), F.concat("path", F.array("next")).alias("path"), (F.col("weight") + F.col("strength")).alias("weight"),
+            (F.col("product") * hop).alias("product"), F.concat("types", F.array("type")).alias("types"),
+        )
         new = checkpoint(new.join(goal, ["graph_id", "id"], "left"))
         found = found.unionByName(new.where("_goal").select(found.columns))
         front = new.where("_goal IS NULL").drop("_goal")
         if not front.take(1):
             break
-    return found.select("graph_id", "root", F.col("id").alias("target"), "path", (F.size("path") - 1).alias("length"), F.round("weight", 9).alias("total_weight"))
+    return found.select("graph_id", "root", F.col("id").alias("target"), "path", (F.size("path") - 1).alias("length"), F.round("weight", 9).alias("total_weight"), F.round("product", 9).alias("strength"), "types")
 
 
 def cycles(edges: DataFrame, max_nodes: int = 4, edge_types: list[str] | None = None) -> DataFrame:

@@ -8,7 +8,7 @@ from graphloom.functions import text as tx
 from graphloom.operators import build, clean, impact as im, ops, query as qu, rewrite as rw, risk, search, traverse as tr, viz
 from graphloom.plans import sql as q
 from graphloom.plans.rank import row_numbers
-from graphloom.schema import GRADE_TYPE
+from graphloom.schema import GRADE_TYPE, HOP_WEIGHT
 from graphloom.session import scratch_table
 from graphloom.sources import parse, store
 from graphloom.sources.tables import table
@@ -314,6 +314,18 @@ def _(s, d):
     return qu.page_info(nodes(s, d), 100, 3)
 
 
+_PATHS2 = _PATHS.replace("coalesce(strength, 0.5::DOUBLE) AS w FROM", f"coalesce(strength, 0.5::DOUBLE) AS w, {q.case(HOP_WEIGHT, 'type', 0.5)} * coalesce(strength, 0.5::DOUBLE) AS h, type FROM").replace("0.0::DOUBLE AS weight,", "1.0::DOUBLE AS weight, ''::VARCHAR AS types,").replace("k.weight + s.w,", "k.weight * s.h, k.types || s.type || ' ',")
+
+
+@query("i10_dependency_paths", q.with_(q.NODES, q.EDGES, _PATHS2, recursive=True) + "SELECT graph_id, root, id AS target, array_to_string(path, ',') AS path, round(weight, 6) AS strength, trim(types) AS types FROM walk WHERE (graph_id, id) IN (SELECT (graph_id, target) FROM goal)")
+def _(s, d):
+    n = nodes(s, d)
+    start = n.where("type = 'method'").groupBy("graph_id").agg(F.min("id").alias("root"))
+    goal = n.where("type IN ('class', 'struct')").select("graph_id", F.col("id").alias("target"))
+    p = tr.paths(tr.steps(scratch_table(edges(s, d), "edges"), "out", ["inherits", "composes", "implements", "contains"]), start, goal, 4)
+    return p.select("graph_id", "root", "target", joined(), F.round("strength", 6).alias("strength"), F.array_join("types", " ").alias("types"))
+
+
 # impact
 @query("i1_impact", q.with_(*q.impacts(DEPTH)) + "SELECT graph_id, root, id, type, round(score, 6) AS score, distance, level, role, round(strength, 6) AS strength, array_to_string(path, ',') AS path FROM imp")
 def _(s, d):
@@ -447,6 +459,13 @@ def _(s, d):
     return viz.layers(scratch_table(impacts(s, d), "impacts"))
 
 
+@query("v14_view", q.with_(q.NODES, q.EDGES) + ", top AS (SELECT graph_id, id, type FROM nodes_c ORDER BY graph_id, id LIMIT 200) SELECT type, count(*) AS nodes, (SELECT count(*) FROM edges_c WHERE (graph_id, source_id) IN (SELECT (graph_id, id) FROM top) AND (graph_id, target_id) IN (SELECT (graph_id, id) FROM top)) AS edges FROM top GROUP BY 1")
+def _(s, d):
+    n = nodes(s, d)
+    top, inside = qu.subgraph(scratch_table(n.orderBy("graph_id", "id").limit(200), "view"), edges(s, d), F.lit(True))
+    return top.groupBy("type").agg(F.count("*").alias("nodes")).withColumn("edges", inside.agg(F.count("*").alias("n")).scalar())
+
+
 @query("v15_related", q.with_(q.NODES, q.EDGES, _NEAR) + ", hit AS (SELECT graph_id, id FROM nodes_c WHERE contains(lower(label), 'watcher') OR contains(lower(type), 'watcher') OR contains(lower(name), 'watcher')) SELECT graph_id, id FROM hit UNION SELECT near.graph_id, neighbour FROM near JOIN hit USING (graph_id, id)")
 def _(s, d):
     return viz.related(nodes(s, d), build.connected(edges(s, d)), "Watcher")
@@ -559,6 +578,17 @@ def _(s, d):
     return ch.file_update(old.select("file_path", "id").distinct(), new.select("file_path", "id").distinct())
 
 
+_GONE = "gone AS (SELECT path FROM (SELECT path, arg_max(change_type, (ts, change_type, coalesce(file_hash, ''))) AS c FROM changes_c GROUP BY path) WHERE c = 'deleted'), dead AS (SELECT graph_id, id FROM nodes_c WHERE file_path IN (SELECT path FROM gone))"
+
+
+@query("t6_deleted_files", q.with_(q.NODES, q.EDGES, q.CHANGES, _GONE) + "SELECT graph_id, id FROM edges_c WHERE (graph_id, source_id) IN (SELECT (graph_id, id) FROM dead) OR (graph_id, target_id) IN (SELECT (graph_id, id) FROM dead)")
+def _(s, d):
+    n, e = nodes(s, d), edges(s, d)
+    gone = ch.snapshot(log(s, d).withColumn("old_path", F.lit(None).cast("string"))).where("change_type = 'deleted'").select(F.col("path").alias("file_path"))
+    dead = n.join(gone, "file_path", "left_semi").select("graph_id", "id")
+    return e.join(qu.remove_nodes(n, e, dead)[1].select("id"), "id", "left_anti").select("graph_id", "id")
+
+
 @query("t7_dependents", q.with_(q.NODES, q.EDGES, q.ROOTS, *q.reach("dep", 3, "target_id", "source_id")).replace("FROM edges_c WHERE source_id <> target_id GROUP BY ALL", "FROM edges_c WHERE source_id <> target_id AND type IN ('calls', 'depends', 'inherits') GROUP BY ALL") + "SELECT graph_id, root, id, distance FROM dep WHERE distance > 0")
 def _(s, d):
     n = nodes(s, d)
@@ -650,6 +680,21 @@ def _(s, d):
     return search.cosine_top(v, [float(i % 7 - 3) for i in range(64)])
 
 
+_CALLS = "c AS (SELECT DISTINCT graph_id, target_id AS id, source_id AS caller FROM edges_c WHERE lower(type) IN ('calls', 'uses', 'depends')), k AS (SELECT graph_id, caller AS id, id AS callee FROM c)"
+_TOP = "string_agg({0}, ',' ORDER BY {0}) FILTER (r <= 10) AS {1} FROM (SELECT *, row_number() OVER (PARTITION BY graph_id, id ORDER BY {0}) AS r FROM {2}) GROUP BY 1, 2"
+
+
+@query("q9_call_chains", q.with_(q.NODES, q.EDGES, q.ROOTS, _CALLS, "up AS (SELECT graph_id, id, " + _TOP.format("caller", "up", "c") + ")", "down AS (SELECT graph_id, id, " + _TOP.format("callee", "down", "k") + ")") + "SELECT graph_id, root AS id, concat_ws(',', up, root) AS callers, concat_ws(',', root, down) AS callees FROM roots LEFT JOIN up ON up.graph_id = roots.graph_id AND up.id = root LEFT JOIN down ON down.graph_id = roots.graph_id AND down.id = root".replace("SELECT graph_id, root", "SELECT roots.graph_id, root"))
+def _(s, d):
+    return search.call_chains(edges(s, d), roots(nodes(s, d)).withColumnRenamed("root", "id"))
+
+
+@query("q12_answers", q.with_(q.NODES, _MATCH) + f"SELECT item_id AS question_id, {_TYPES} AS question_type, coalesce(round(least(1.0::DOUBLE, hits::DOUBLE / (words * elements) * CASE WHEN elements >= 3 THEN 1.2::DOUBLE ELSE 1.0::DOUBLE END), 6), 0.0::DOUBLE) AS confidence FROM eval_items LEFT JOIN (SELECT question_id, count(*) AS hits, count(DISTINCT keyword) AS words, count(DISTINCT (graph_id, id)) AS elements FROM m GROUP BY 1) ON question_id = item_id WHERE text IS NOT NULL")
+def _(s, d):
+    qs = table(s, d, "eval_items").where("text IS NOT NULL").select(F.col("item_id").alias("question_id"), "text")
+    return search.answer_context(qs, nodes(s, d)).select("question_id", "question_type", F.round("confidence", 6).alias("confidence"))
+
+
 # documentation
 _SIG = "'def ' || name || '(' || coalesce(array_to_string(parameters, ', '), '') || ')' || CASE WHEN length(return_type) > 0 THEN ' -> ' || return_type ELSE '' END || ':'"
 
@@ -716,6 +761,16 @@ def _(s, d):
     return a.select("user_id", F.date_format("start", "yyyy-MM-dd HH:mm:ss").alias("start"), F.round("peak", 6).alias("peak"), "alerts")
 
 
+@query("m2_summary", "SELECT event_type, n, mean, max, CASE WHEN mean >= 95 THEN 'critical' WHEN mean >= 80 THEN 'warning' ELSE 'normal' END AS status FROM (SELECT event_type, count(*) AS n, round(avg(value), 6) AS mean, max(value) AS max FROM events WHERE ts > (SELECT max(ts) FROM events) - INTERVAL 1440 MINUTES GROUP BY 1)")
+def _(s, d):
+    return ops.recent_summary(table(s, d, "events"), 1440)
+
+
+@query("m3_growth", "SELECT event_type, strftime(start, '%Y-%m-%d %H') AS start, n, before FROM (SELECT *, lag(n) OVER (PARTITION BY event_type ORDER BY start) AS before FROM (SELECT event_type, date_trunc('hour', ts) AS start, count(*) AS n FROM events GROUP BY 1, 2)) WHERE n - before >= 5")
+def _(s, d):
+    return ops.growth(table(s, d, "events"), 60, 5).withColumn("start", F.date_format("start", "yyyy-MM-dd HH"))
+
+
 @query("m8_error_alerts", "SELECT event_type AS kind, count(*) AS errors, count(*) >= 20 AS alert FROM events GROUP BY 1")
 def _(s, d):
     return ops.error_alerts(table(s, d, "events").withColumnRenamed("event_type", "kind"))
@@ -764,6 +819,16 @@ def _(s, d):
     return every.groupBy("source_id", "target_id", "type").agg(F.count("*").alias("sites"))
 
 
+@query("x4_usage")
+def _(s, d):
+    return parse.cross_file_usage(scratch_table(parse.element_rows(parsed(s, d)), "elements"))
+
+
+@query("a4_class_split")
+def _(s, d):
+    return parse.class_split(scratch_table(parse.element_rows(parsed(s, d)), "elements"))
+
+
 @query("x5_exports")
 def _(s, d):
     return parse.exports(parse.element_rows(parsed(s, d)))

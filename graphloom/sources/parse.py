@@ -196,3 +196,18 @@ def import_edges(parsed: DataFrame) -> DataFrame:
 def exports(elements: DataFrame) -> DataFrame:
     """Public classes and functions per file."""
     return elements.where("type IN ('class', 'function') AND (visibility = 'public' OR NOT startswith(name, '_'))").select("file_path", "name").distinct()
+
+
+def cross_file_usage(elements: DataFrame) -> DataFrame:
+    """Elements to the functions and classes of other files that they call by name, all definitions: source_id,
+    target_id, calls. Names defined in very many files join their callers by a hash join on the name."""
+    use = elements.select("id", "file_path", F.explode("calls").alias("callee")).groupBy("id", "file_path", "callee").agg(F.count("*").alias("calls"))
+    to = elements.where("type IN ('function', 'method', 'class')").select(F.col("id").alias("target_id"), F.col("file_path").alias("other"), F.col("name").alias("callee"))
+    return use.join(to, "callee").where("other <> file_path").groupBy(F.col("id").alias("source_id"), "target_id").agg(F.sum("calls").alias("calls"))
+
+
+def class_split(elements: DataFrame) -> DataFrame:
+    """Per class its constructors, public and private functions, by number."""
+    ctor = F.col("name").isin("__init__", "constructor") | (F.col("name") == F.col("parent"))
+    m = elements.where("parent IS NOT NULL AND type IN ('function', 'method')")
+    return m.groupBy("file_path", F.col("parent").alias("name")).agg(F.count_if(ctor).alias("constructors"), F.count_if(~ctor & (F.col("visibility") != "private")).alias("public"), F.count_if(~ctor & (F.col("visibility") == "private")).alias("private"))
