@@ -8,14 +8,29 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 
+#: Bytes that a function gets at once; larger batches are halved, down to single rows, so memory doesn't grow with the texts.
+PIECE_BYTES = 8 << 20
+
+
+def pieces(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """The batch in order, in parts of at most PIECE_BYTES or of one row."""
+    waiting = [batch]
+    while waiting:
+        b = waiting.pop()
+        if b.num_rows > 1 and b.nbytes > PIECE_BYTES:
+            half = b.num_rows // 2
+            waiting += [b.slice(half), b.slice(0, half)]
+        elif b.num_rows:
+            yield b
+
+
 def map_rows(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], pa.RecordBatch]], schema: str) -> DataFrame:
     """Run a function over batches; ``make`` builds it once per task, so that models load on the executor."""
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         f = make()
         for batch in it:
-            if batch.num_rows:
-                yield f(batch)
+            yield from map(f, pieces(batch))
 
     return df.mapInArrow(run, schema)
 

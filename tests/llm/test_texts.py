@@ -268,3 +268,15 @@ def test_spam_on_spark(spark, sf):
     got = {r.doc_id for r in spam.spam_pages(docs.unionByName(spark.createDataFrame(rows, "doc_id long, text string"))).where("doc_id < 0").collect()}
     assert got == {-1, -2, -9}
     assert spam.spam_pages(docs.limit(0)).collect() == []
+
+
+def test_batches_are_cut_by_bytes(monkeypatch):
+    import pyarrow as pa
+
+    from graphloom.llm import arrow
+
+    monkeypatch.setattr(arrow, "PIECE_BYTES", 100)
+    batch = pa.RecordBatch.from_pydict({"t": ["a" * 300, None, "", *["b" * 30] * 7]})
+    parts = list(arrow.pieces(batch))
+    assert [x for p in parts for x in p.column(0).to_pylist()] == batch.column(0).to_pylist() and len(parts) > 3
+    assert list(arrow.pieces(batch.slice(0, 0))) == []
