@@ -12,12 +12,16 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
+from graphloom.session import scratch_table
+
 #: Bits of the filter, a power of two: 2^25 bits are 4 MiB, whatever the number of parents.
 #: With more parents than BLOOM_BITS / 8 more orphans pass the filter; the exact join still finds them.
 BLOOM_BITS = 1 << 25
 BLOOM_HASHES = 4
 #: A key counts as hot if it holds at least this share of all references; so at most 1 / HOT_SHARE keys can be hot.
 HOT_SHARE = 0.002
+#: Parts into which the references of a hot key are spread.
+SALTS = 32
 #: Parents with more distinct lifetimes than this aren't put into one array but counted along time slices.
 MAX_LIFETIMES = 64
 _BUCKET = 32768  # bits of one bitmap of bitmap_construct_agg
@@ -98,8 +102,9 @@ def find_orphans(refs: DataFrame, parents: DataFrame, max_lifetimes: int = MAX_L
     none; a null scope matches no parent, so such a reference is missing; one with a null t comes out only if its key
     is missing; a parent with a null begin exists but never lives. Empty tables give no rows or only ``missing``.
 
-    Skew: keys that hold more than ``hot_share`` of the references (at most 1 / hot_share keys) meet their parents by
-    a broadcast of those few keys; all others by a shuffle on the key. Parents with more than ``max_lifetimes``
+    Skew: the join with the parents shuffles on the key; keys that hold more than ``hot_share`` of the references (at
+    most 1 / hot_share keys, so their list is broadcast) are spread over SALTS salts. Column names that begin with an
+    underscore are taken. Parents with more than ``max_lifetimes``
     lifetimes are counted along time slices, so no list grows without bound.
     """
     cols, on = refs.columns, ["scope", "key"]
@@ -107,7 +112,8 @@ def find_orphans(refs: DataFrame, parents: DataFrame, max_lifetimes: int = MAX_L
     parents = parents.where("key IS NOT NULL AND scope IS NOT NULL").select("scope", "key", "begin", "end").distinct()
     table = bloom_bits(parents, on, bits)
     total = refs.groupBy(*on).agg(F.count("*").alias("_n"))
-    hot = total.where(F.col("_n") > F.lit(hot_share) * total.agg(F.sum("_n").alias("n")).scalar()).select(*on, F.lit(True).alias("_hot"))
+    # written once: a few hundred keys at most, which two joins below use
+    hot = scratch_table(total.where(F.col("_n") > F.lit(hot_share) * total.agg(F.sum("_n").alias("n")).scalar()).select(*on, F.lit(True).alias("_hot")), "hot")
     probed = refs.withColumn("_may", might_contain(refs, on, table) & F.col("scope").isNotNull())
     orphans = probed.where("NOT _may OR scope IS NULL").select(*cols, F.lit("missing").alias("reason"))
     passed = probed.where("_may").drop("_may").join(F.broadcast(hot), on, "left")
@@ -117,8 +123,11 @@ def find_orphans(refs: DataFrame, parents: DataFrame, max_lifetimes: int = MAX_L
     lives = few.groupBy(*on).agg(F.collect_list(F.struct("begin", "end")).alias("_lives"), F.lit(False).alias("_busy"))
     busy = counts.where(F.col("_n") > max_lifetimes).select(*on, F.lit(True).alias("_busy"))
     lives = lives.unionByName(busy, allowMissingColumns=True)
-    hot_lives = lives.join(F.broadcast(hot.select(*on)), on, "left_semi")
-    known = passed.where("_hot").join(F.broadcast(hot_lives), on, "left").unionByName(passed.where("_hot IS NULL").join(lives, on, "left"))
+    # hot keys are spread over salts, their parents copied to each
+    salt = F.when(F.col("_hot"), F.pmod(F.xxhash64(*cols), F.lit(SALTS))).otherwise(0).cast("int")
+    salts = F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
+    spread = lives.join(F.broadcast(hot), on, "left").withColumn("_salt", F.explode(salts)).drop("_hot")
+    known = passed.withColumn("_salt", salt).drop("_hot").join(spread, [*on, "_salt"], "left")
     began = F.exists("_lives", lambda x: x["begin"] <= F.col("t"))
     alive = F.exists("_lives", lambda x: (x["begin"] <= F.col("t")) & (x["end"].isNull() | (x["end"] > F.col("t"))))
     reason = F.when(F.col("_busy").isNull(), "missing").when(F.col("t").isNull() | alive, None).when(began, "deleted").otherwise("late")
