@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
 from graphloom.operators.clean import small
@@ -9,6 +10,8 @@ from graphloom.schema import HOP_WEIGHT, OTHER_HOP, lookup
 from graphloom.session import checkpoint
 
 KEY = ["graph_id", "root", "id"]
+#: Edges left up to which one task finishes the strong components of a graph.
+WHOLE = 200_000
 
 
 def steps(edges: DataFrame, direction: str = "out", edge_types: list[str] | None = None) -> DataFrame:
@@ -70,37 +73,87 @@ def paths(step: DataFrame, roots: DataFrame, targets: DataFrame, max_nodes: int
 def cycles(edges: DataFrame, max_nodes: int = 4, edge_types: list[str] | None = None) -> DataFrame:
     """All simple cycles of 2 to max_nodes nodes, starting and ending at their least node: graph_id, cycle, length.
 
-    Nodes that can't lie on a cycle are trimmed first, again and again, which keeps the paths few.
+    Only edges within a strong component can lie on a cycle. From each start, half of a cycle is walked along the edges
+    and half against them, over greater nodes; halves that meet in one node and share no other make a cycle, each once.
     """
-    e = (edges.where(F.col("type").isin(edge_types)) if edge_types else edges).where("source_id <> target_id").select("graph_id", F.col("source_id").alias("a"), F.col("target_id").alias("b")).distinct()
-    e = checkpoint(e)
-    size = e.count()
-    while size:
-        e2 = checkpoint(e.join(e.select("graph_id", F.col("b").alias("a")).distinct(), ["graph_id", "a"], "left_semi").join(e.select("graph_id", F.col("a").alias("b")).distinct(), ["graph_id", "b"], "left_semi"))
-        left = e2.count()
-        if left == size:
-            break
-        e, size = e2, left
-    front = e.where("b > a").select("graph_id", "a", F.array("a", "b").alias("path"), F.col("b").alias("at"))
+    some = edges.where(F.col("type").isin(edge_types)) if edge_types else edges
+    part = strong_components(some)
+    e = some.where("source_id <> target_id").select("graph_id", F.col("source_id").alias("a"), F.col("target_id").alias("b")).distinct()
+    for c in "ab":
+        e = e.join(part.select("graph_id", F.col("id").alias(c), F.col("component").alias(f"c{c}")), ["graph_id", c])
+    e = checkpoint(e.where("ca = cb").select("graph_id", "a", "b"))
+    ahead = [checkpoint(e.where("b > a").select("graph_id", F.col("a").alias("start"), F.col("b").alias("at"), F.array("a", "b").alias("path")))]
+    back = [checkpoint(e.where("a > b").select("graph_id", F.col("b").alias("start"), F.col("a").alias("at"), F.array("a").alias("rest")))]
+    free = lambda way: (F.col("next") > F.col("start")) & ~F.array_contains(way, F.col("next"))
     out = None
-    for _ in range(2, max_nodes + 1):
-        front = checkpoint(front)
-        new = front.join(e.select("graph_id", F.col("a").alias("at"), F.col("b").alias("next")), ["graph_id", "at"]).where("next >= a")
-        closed = new.where("next = a").select("graph_id", F.concat("path", F.array("a")).alias("cycle"))
+    for n in range(2, max_nodes + 1):
+        half = (n + 1) // 2
+        if len(ahead) < half:
+            new = ahead[-1].join(e.select("graph_id", F.col("a").alias("at"), F.col("b").alias("next")), ["graph_id", "at"]).where(free("path"))
+            ahead.append(checkpoint(new.select("graph_id", "start", F.col("next").alias("at"), F.concat("path", F.array("next")).alias("path"))))
+        if len(back) < n - half:
+            new = back[-1].join(e.select("graph_id", F.col("b").alias("at"), F.col("a").alias("next")), ["graph_id", "at"]).where(free("rest"))
+            back.append(checkpoint(new.select("graph_id", "start", F.col("next").alias("at"), F.concat(F.array("next"), "rest").alias("rest"))))
+        both = ahead[half - 1].join(back[n - half - 1], ["graph_id", "start", "at"]).withColumn("rest", F.expr("slice(rest, 2, size(rest))"))
+        closed = both.where(~F.arrays_overlap("path", "rest")).select("graph_id", F.concat("path", "rest", F.array("start")).alias("cycle"))
         out = closed if out is None else out.unionByName(closed)
-        front = new.where("next > a").where(~F.array_contains("path", F.col("next"))).select("graph_id", "a", F.concat("path", F.array("next")).alias("path"), F.col("next").alias("at"))
-    return out.select("graph_id", "cycle", (F.size("cycle") - 1).alias("length")).distinct()
-
-
-def strong_components(edges: DataFrame, rounds: int = 200) -> DataFrame:
+    return out.select("graph_id", "cycle", (F.size("cycle") - 1).alias("length"))
+
+
+def _tarjan(edges: pd.DataFrame) -> pd.DataFrame:
+    """Strong components of more than one node of one graph: graph_id, id, c (the greatest id in it)."""
+    after: dict[str, list[str]] = {}
+    for a, b in zip(edges["a"], edges["b"]):
+        after.setdefault(a, []).append(b)
+    low: dict[str, int] = {}
+    order: dict[str, int] = {}
+    stack, out = [], []
+    for start in after:
+        if start in order:
+            continue
+        walk = [(start, iter(after[start]))]
+        order[start] = low[start] = len(order)
+        stack.append(start)
+        while walk:
+            v, rest = walk[-1]
+            for w in rest:
+                if w not in order:
+                    order[w] = low[w] = len(order)
+                    stack.append(w)
+                    walk.append((w, iter(after.get(w, ()))))
+                    break
+                if w in low:  # still on the stack
+                    low[v] = min(low[v], order[w])
+            else:
+                walk.pop()
+                if walk:
+                    low[walk[-1][0]] = min(low[walk[-1][0]], low[v])
+                if low[v] == order[v]:
+                    k = len(stack) - 1
+                    while stack[k] != v:
+                        k -= 1
+                    own = stack[k:]
+                    del stack[k:]
+                    for w in own:
+                        del low[w]
+                    if len(own) > 1:
+                        out += [(w, max(own)) for w in own]
+    found = pd.DataFrame(out, columns=["id", "c"], dtype=str)
+    found.insert(0, "graph_id", edges["graph_id"].iloc[0])
+    return found
+
+
+def strong_components(edges: DataFrame, whole: int = WHOLE) -> DataFrame:
     """Strongly connected components of more than one node: graph_id, id, component (the least id in it).
 
     Colouring: labels of the greatest ancestor spread forward; within a colour, nodes that reach its root backward form
-    one component and leave; edges between colours are cut. Nodes without a way in or out are trimmed first.
+    one component and leave; edges between colours are cut. Nodes without a way in or out are trimmed first. A round
+    takes one component a colour, so a graph that has at most ``whole`` edges left is finished by Tarjan's algorithm in
+    one task; the loop ends when no edges are left.
     """
     e = checkpoint(edges.where("source_id <> target_id").select("graph_id", F.col("source_id").alias("a"), F.col("target_id").alias("b")).distinct())
     done = None
-    for _ in range(rounds):
+    while True:
         size = e.count()
         while size:  # trim
             e2 = checkpoint(e.join(e.select("graph_id", F.col("b").alias("a")).distinct(), ["graph_id", "a"], "left_semi").join(e.select("graph_id", F.col("a").alias("b")).distinct(), ["graph_id", "b"], "left_semi"))
@@ -110,6 +163,13 @@ def strong_components(edges: DataFrame, rounds: int = 200) -> DataFrame:
             e, size = e2, left
         if not size:
             break
+        few = checkpoint(e.groupBy("graph_id").agg(F.count("*").alias("n")).where(F.col("n") <= whole).select("graph_id"))
+        if few.take(1):
+            own = checkpoint(e.join(few, "graph_id", "left_semi").groupBy("graph_id").applyInPandas(_tarjan, "graph_id string, id string, c string"))
+            done = own if done is None else done.unionByName(own)
+            e = checkpoint(e.join(few, "graph_id", "left_anti"))
+            if not e.take(1):
+                break
         colour = checkpoint(e.select("graph_id", F.explode(F.array("a", "b")).alias("id")).distinct().withColumn("c", F.col("id")))
         while True:
             near = e.join(colour.select("graph_id", F.col("id").alias("a"), "c"), ["graph_id", "a"]).groupBy("graph_id", F.col("b").alias("id")).agg(F.max("c").alias("m"))

@@ -227,9 +227,9 @@ walk AS (SELECT graph_id, root, root AS id, [root] AS path, 0.0::DOUBLE AS weigh
 @query("g2_all_paths", q.with_(q.NODES, q.EDGES, _PATHS, recursive=True) + "SELECT graph_id, root, id AS target, array_to_string(path, ',') AS path, n AS length, round(weight, 6) AS total_weight FROM walk WHERE (graph_id, id) IN (SELECT (graph_id, target) FROM goal)")
 def _(s, d):
     n = nodes(s, d)
-    start = n.where("type = 'method'").groupBy("graph_id").agg(F.min("id").alias("root"))
+    start = n.where("type = 'method'").select("graph_id", F.col("id").alias("root"))
     goal = n.where("type IN ('class', 'struct')").select("graph_id", F.col("id").alias("target"))
-    p = tr.paths(tr.steps(scratch_table(edges(s, d), "edges"), "out", ["inherits", "composes", "implements", "contains"]), start, goal, 4)
+    p = tr.paths(tr.steps(scratch_table(edges(s, d), "edges")), start, goal, 5)
     return p.select("graph_id", "root", "target", joined(), "length", F.round("total_weight", 6).alias("total_weight"))
 
 
@@ -257,7 +257,7 @@ _CYCLE_OUT = "SELECT DISTINCT w.graph_id, array_to_string(list_append(w.path, w.
 
 @query("g5_cycles", q.with_(q.EDGES, _CYCLE.format(types="'inherits', 'implements', 'composes', 'contains', 'accesses'"), recursive=True) + _CYCLE_OUT)
 def _(s, d):
-    return tr.cycles(edges(s, d), 4, ["inherits", "implements", "composes", "contains", "accesses"]).select("graph_id", joined("cycle"), "length")
+    return tr.cycles(edges(s, d), LONGEST_CYCLE).select("graph_id", joined("cycle"), "length")
 
 
 @query("g6_scc")
@@ -322,9 +322,9 @@ _PATHS2 = _PATHS.replace("coalesce(strength, 0.5::DOUBLE) AS w FROM", f"coalesce
 @query("i10_dependency_paths", q.with_(q.NODES, q.EDGES, _PATHS2, recursive=True) + "SELECT graph_id, root, id AS target, array_to_string(path, ',') AS path, round(weight, 6) AS strength, trim(types) AS types FROM walk WHERE (graph_id, id) IN (SELECT (graph_id, target) FROM goal)")
 def _(s, d):
     n = nodes(s, d)
-    start = n.where("type = 'method'").groupBy("graph_id").agg(F.min("id").alias("root"))
+    start = n.where("type = 'method'").select("graph_id", F.col("id").alias("root"))
     goal = n.where("type IN ('class', 'struct')").select("graph_id", F.col("id").alias("target"))
-    p = tr.paths(tr.steps(scratch_table(edges(s, d), "edges"), "out", ["inherits", "composes", "implements", "contains"]), start, goal, 4)
+    p = tr.paths(tr.steps(scratch_table(edges(s, d), "edges")), start, goal, 6)
     return p.select("graph_id", "root", "target", joined(), F.round("strength", 6).alias("strength"), F.array_join("types", " ").alias("types"))
 
 
