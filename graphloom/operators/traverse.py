@@ -102,43 +102,44 @@ def cycles(edges: DataFrame, max_nodes: int = 4, edge_types: list[str] | None =
 
 def _tarjan(edges: pd.DataFrame) -> pd.DataFrame:
     """Strong components of more than one node of one graph: graph_id, id, c (the greatest id in it)."""
-    after: dict[str, list[str]] = {}
-    for a, b in zip(edges["a"], edges["b"]):
-        after.setdefault(a, []).append(b)
-    low: dict[str, int] = {}
-    order: dict[str, int] = {}
+    codes, ids = pd.factorize(pd.concat([edges["a"], edges["b"]], ignore_index=True))
+    after: list[list[int]] = [[] for _ in ids]
+    for a, b in zip(codes[: len(edges)].tolist(), codes[len(edges) :].tolist()):
+        after[a].append(b)
+    low, order, n = [0] * len(ids), [0] * len(ids), 0  # low is 0 off the stack, order before the visit
     stack, out = [], []
-    for start in after:
-        if start in order:
+    for start in range(len(ids)):
+        if order[start]:
             continue
-        walk = [(start, iter(after[start]))]
-        order[start] = low[start] = len(order)
+        n += 1
+        low[start] = order[start] = n
         stack.append(start)
+        walk = [(start, iter(after[start]))]
         while walk:
             v, rest = walk[-1]
             for w in rest:
-                if w not in order:
-                    order[w] = low[w] = len(order)
+                if not order[w]:
+                    n += 1
+                    low[w] = order[w] = n
                     stack.append(w)
-                    walk.append((w, iter(after.get(w, ()))))
+                    walk.append((w, iter(after[w])))
                     break
-                if w in low:  # still on the stack
-                    low[v] = min(low[v], order[w])
+                if low[w] and order[w] < low[v]:
+                    low[v] = order[w]
             else:
                 walk.pop()
-                if walk:
-                    low[walk[-1][0]] = min(low[walk[-1][0]], low[v])
+                if walk and low[v] < low[walk[-1][0]]:
+                    low[walk[-1][0]] = low[v]
                 if low[v] == order[v]:
-                    k = len(stack) - 1
-                    while stack[k] != v:
-                        k -= 1
-                    own = stack[k:]
-                    del stack[k:]
+                    own = [stack.pop()]
+                    while own[-1] != v:
+                        own.append(stack.pop())
                     for w in own:
-                        del low[w]
+                        low[w] = 0
                     if len(own) > 1:
-                        out += [(w, max(own)) for w in own]
-    found = pd.DataFrame(out, columns=["id", "c"], dtype=str)
+                        most = max(ids[w] for w in own)
+                        out += [(ids[w], most) for w in own]
+    found = pd.DataFrame(out, columns=["id", "c"], dtype=object)
     found.insert(0, "graph_id", edges["graph_id"].iloc[0])
     return found
 
@@ -154,6 +155,11 @@ def strong_components(edges: DataFrame, whole: int = WHOLE) -> DataFrame:
     e = checkpoint(edges.where("source_id <> target_id").select("graph_id", F.col("source_id").alias("a"), F.col("target_id").alias("b")).distinct())
     done = None
     while True:
+        few = checkpoint(e.groupBy("graph_id").agg(F.count("*").alias("n")).where(F.col("n") <= whole).select("graph_id"))
+        if few.take(1):
+            own = checkpoint(e.join(few, "graph_id", "left_semi").groupBy("graph_id").applyInPandas(_tarjan, "graph_id string, id string, c string"))
+            done = own if done is None else done.unionByName(own)
+            e = checkpoint(e.join(few, "graph_id", "left_anti"))
         size = e.count()
         while size:  # trim
             e2 = checkpoint(e.join(e.select("graph_id", F.col("b").alias("a")).distinct(), ["graph_id", "a"], "left_semi").join(e.select("graph_id", F.col("a").alias("b")).distinct(), ["graph_id", "b"], "left_semi"))
@@ -163,13 +169,6 @@ def strong_components(edges: DataFrame, whole: int = WHOLE) -> DataFrame:
             e, size = e2, left
         if not size:
             break
-        few = checkpoint(e.groupBy("graph_id").agg(F.count("*").alias("n")).where(F.col("n") <= whole).select("graph_id"))
-        if few.take(1):
-            own = checkpoint(e.join(few, "graph_id", "left_semi").groupBy("graph_id").applyInPandas(_tarjan, "graph_id string, id string, c string"))
-            done = own if done is None else done.unionByName(own)
-            e = checkpoint(e.join(few, "graph_id", "left_anti"))
-            if not e.take(1):
-                break
         colour = checkpoint(e.select("graph_id", F.explode(F.array("a", "b")).alias("id")).distinct().withColumn("c", F.col("id")))
         while True:
             near = e.join(colour.select("graph_id", F.col("id").alias("a"), "c"), ["graph_id", "a"]).groupBy("graph_id", F.col("b").alias("id")).agg(F.max("c").alias("m"))
