@@ -122,25 +122,27 @@ def compress_chains(edges: DataFrame) -> DataFrame:
     return kept.unionByName(new)
 
 
-def components(nodes: DataFrame, edges: DataFrame, rounds: int = 60) -> DataFrame:
+def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """Weak components per graph: graph_id, id, component (the least id in it).
 
-    Labels fall to the least of the neighbours' and, by a shortcut, to the label's own label, so rounds are few. The
-    minimum is combined before each shuffle, so hubs are no hot spot. Ends without a node take part.
+    Labels fall to the least of the neighbours'; what a node learns is passed on to the node that its label names
+    (hooking), and labels are replaced by their own labels (shortcut), so rounds are few. The loop ends when nothing
+    changes. The minimum is combined before each shuffle, so hubs are no hot spot. Ends without a node take part.
     """
     ends = edges.select("graph_id", F.explode(F.array(F.struct(F.col("source_id").alias("a"), F.col("target_id").alias("b")), F.struct(F.col("target_id").alias("a"), F.col("source_id").alias("b")))).alias("p")).select("graph_id", "p.a", "p.b").where("a <> b").distinct()
     ends = checkpoint(ends)
     label = nodes.select("graph_id", "id").unionByName(ends.select("graph_id", F.col("a").alias("id"))).distinct().withColumn("component", F.col("id"))
     label = checkpoint(label)
-    for _ in range(rounds):
+    while True:
         near = ends.join(label.select("graph_id", F.col("id").alias("b"), "component"), ["graph_id", "b"]).groupBy("graph_id", F.col("a").alias("id")).agg(F.min("component").alias("c"))
-        low = label.join(near, ["graph_id", "id"], "left").select("graph_id", "id", "component", F.least("component", F.coalesce("c", "component")).alias("c"))
-        short = label.select("graph_id", F.col("id").alias("c"), F.col("component").alias("c2"))
+        low = checkpoint(label.join(near, ["graph_id", "id"], "left").select("graph_id", "id", "component", F.least("component", F.coalesce("c", "component")).alias("c")))
+        hook = low.where("c < component").groupBy("graph_id", F.col("component").alias("id")).agg(F.min("c").alias("h"))
+        low = checkpoint(low.join(hook, ["graph_id", "id"], "left").select("graph_id", "id", "component", F.least("c", F.coalesce("h", "c")).alias("c")))
+        short = low.select("graph_id", F.col("id").alias("c"), F.col("c").alias("c2"))
         new = checkpoint(low.join(short, ["graph_id", "c"], "left").select("graph_id", "id", F.least("c", F.coalesce("c2", "c")).alias("component"), (F.least("c", F.coalesce("c2", "c")) != F.col("component")).alias("changed")))
         label = new.drop("changed")
         if not new.where("changed").take(1):
-            break
-    return label
+            return label
 
 
 def merge_graphs(nodes: list[DataFrame], edges: list[DataFrame], graph_id: str) -> tuple[DataFrame, DataFrame]:
