@@ -2,7 +2,8 @@
 
 Pigeonhole matching with edits: each item is cut into pieces so short that a passage of LEAST words holds more pieces
 than the errors it may have; so one piece at least stands unchanged. An automaton finds all pieces in a document in one
-pass; the hits are joined to segments, extended, and verified by Myers' bit-parallel edit distance over words.
+pass; around each hit the edit distance over words decides whether a passage stands there. Hits are also joined to
+segments, extended, and verified by Myers' bit-parallel edit distance.
 """
 
 from __future__ import annotations
@@ -149,8 +150,17 @@ class Finder:
             else:
                 segments.append([p, p + PIECE, d, d + PIECE])
         good = []
+        whole: list[list[int]] = []
+        for d, p in hits:
+            if not any(s[0] <= p and p + PIECE <= s[1] and s[2] <= d and d + PIECE <= s[3] for s in whole[-8:]):
+                if s := self.passage(item, doc, d, p):
+                    whole.append(s)
         for s in segments:
             self.extend(item, doc, s)
+        grown = [[*s] for s in whole]
+        for s in grown:
+            self.extend(item, doc, s)
+        for s in segments + whole + grown:
             n, errors = s[1] - s[0], myers(item[s[0] : s[1]], doc[s[2] : s[3]])
             if n >= PIECE and errors <= RATE * n:
                 there = set(doc[s[2] : s[3]])
@@ -173,6 +183,46 @@ class Finder:
                         best = max(best, s[1] - start)
         return best
 
+    @staticmethod
+    def passage(item: list[str], doc: list[str], d: int, p: int) -> list[int] | None:
+        """The passage around an unchanged piece, as item from, to; document from, to: the longest of LEAST words at most
+        with BUDGET errors, or None. EDGE words may be missing at its ends, and count as errors."""
+        side, far = LEAST - PIECE, LEAST - PIECE + BUDGET
+        there = set(doc[max(0, d - far) : d + PIECE + far])
+        if sum(map(there.__contains__, item[max(0, p - side) : p + PIECE + side])) < LEAST - BUDGET:
+            return None  # fewer words of the item are near than any passage keeps
+        sides = []
+        for step in (-1, 1):
+            i, k = (p + PIECE, d + PIECE) if step == 1 else (p - 1, d - 1)
+            rows = min(side, len(item) - i if step == 1 else i + 1)
+            columns = len(doc) - k if step == 1 else k + 1
+            best = [(0, 0)] * (BUDGET + 1)  # item and document words up to the last equal pair, by errors
+            before = {c: c for c in range(min(BUDGET, columns) + 1)}
+            for r in range(1, rows + 1):
+                word, now = item[i + (r - 1) * step], {}
+                for c in range(max(0, r - BUDGET), min(columns, r + BUDGET) + 1):
+                    e = min(before.get(c, BUDGET), now.get(c - 1, BUDGET)) + 1
+                    if c and (c - 1) in before:
+                        if word == doc[k + (c - 1) * step]:
+                            e = min(e, before[c - 1])
+                            if before[c - 1] <= BUDGET:
+                                best[before[c - 1]] = (r, c)
+                        else:
+                            e = min(e, before[c - 1] + 1)
+                    if e <= BUDGET:
+                        now[c] = e
+                if not now:
+                    break
+                before = now
+            sides.append(best)
+        found = None
+        for e, (lr, lc) in enumerate(sides[0]):
+            for e2, (rr, rc) in enumerate(sides[1][: BUDGET + 1 - e]):
+                n = lr + PIECE + rr
+                if n >= LEAST - EDGE and e + e2 + max(0, LEAST - n) <= BUDGET and (found is None or n > found[1] - found[0]):
+                    found = [p - lr, p + PIECE + rr, d - lc, d + PIECE + rc]
+        return found
+
     @staticmethod
     def extend(item: list[str], doc: list[str], s: list[int]) -> None:
         """Grow a segment at both ends over equal words, and over errors that two equal words follow, within the rate."""
