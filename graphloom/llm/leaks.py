@@ -30,15 +30,17 @@ RATE = 0.2
 #: A three-word sequence in at least this part of the items (four at least) is common; of a passage's other words, the
 #: distinctive ones, at least OWN must stand in the document, so that sentences of one mould aren't taken for each other.
 COMMON, OWN = 0.05, 0.75
-#: A sentence at the start of at least so many items is a stock instruction.
+#: A sentence that is the very first of at least so many items is a stock instruction.
 STOCK_ITEMS = 3
+#: Words of the shortest instruction; a shorter opening is part of the passage.
+STOCK_WORDS = 5
 #: Items in one automaton; more are taken in blocks of so many, each one pass over the documents.
 BLOCK = 20_000
 
 _ESCAPE = re.compile(r"\\[nrt\"'\\/]|\\u[0-9a-f]{4}|&(?:quot|amp|lt|gt|apos|nbsp|#\d+);|</?\w+[^<>]*>")
 _HYPHEN = re.compile(r"(?<=[^\W\d_])-[ \t]*\r?\n[ \t]*(?:[#*>/+|-]+[ \t]*)?(?=[^\W\d_])")
 _OTHER = re.compile(r"[\W_]+")
-_SENTENCE = re.compile(r"(?<=[.?!:])\s+|\n+")
+_SENTENCE = re.compile(r"(?<=[.?!])\s+|\n+")
 
 
 def normal(text: str) -> str:
@@ -56,10 +58,10 @@ def passages(items: list[tuple[int, str]]) -> list[tuple[int, list[str]]]:
     parts = {i: [p for s in _SENTENCE.split(t or "") if (p := normal(s).strip())] for i, t in items}
     lead = Counter()
     for p in parts.values():
-        lead.update(set(p[:3]))
+        lead.update(p[:1])
     out = []
     for i, p in parts.items():
-        while p and lead[p[0]] >= STOCK_ITEMS:
+        while p and lead[p[0]] >= STOCK_ITEMS and p[0].count(" ") >= STOCK_WORDS - 1:
             p = p[1:]
         out.append((i, " ".join(p).split()))
     return out

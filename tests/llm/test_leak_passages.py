@@ -29,3 +29,18 @@ def test_any_four_changes_inside():
         for k in sorted(rnd.sample(range(1, 24), 4), reverse=True):
             part[k : k + 1] = rnd.choice([["other"], [], [part[k], "more"]])
         assert finder.found("x y " + " ".join(part) + " z") == [1]
+
+
+def test_a_mould_with_a_colon_is_no_instruction():
+    stock = "Read the passage and choose the best explanation."
+    texts = [f"{stock}\nTwo players alternate: " + " ".join(f"u{i}w{k}" for k in range(22)) for i in range(4)]
+    texts += ["Two players alternate: " + " ".join(f"u{i}w{k}" for k in range(22)) for i in range(4, 8)]
+    words = dict(leaks.passages([*enumerate(texts)]))
+    assert all(w[:3] == ["two", "players", "alternate"] and len(w) == 25 for w in words.values())
+    finder = leaks.Finder([*words.items()])
+    assert finder.found("x y " + texts[5] + " z") == [5]
+
+
+def test_a_short_opening_line_stays():
+    words = dict(leaks.passages([(i, f"Two players alternate.\nrest of item {i}") for i in range(5)]))
+    assert words[2] == "two players alternate rest of item 2".split()
