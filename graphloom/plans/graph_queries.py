@@ -214,7 +214,7 @@ def _(s, d):
 @query("g1_shortest", q.with_(q.NODES, q.EDGES, q.ROOTS, *q.reach("way", 4, "source_id", "target_id")) + "SELECT graph_id, root, id AS target, distance AS length FROM way")
 def _(s, d):
     n = nodes(s, d)
-    return tr.reach(tr.steps(scratch_table(edges(s, d), "edges")), roots(n), 4).select("graph_id", "root", F.col("id").alias("target"), F.col("distance").alias("length"))
+    return tr.reach(tr.steps(scratch_table(edges(s, d), "edges")), roots(n), LONGEST_CYCLE - 1).select("graph_id", "root", F.col("id").alias("target"), F.col("distance").alias("length"))
 
 
 _PATHS = """start AS (SELECT graph_id, min(id) AS root FROM nodes_c WHERE type = 'method' GROUP BY graph_id), goal AS (SELECT graph_id, id AS target FROM nodes_c WHERE type IN ('class', 'struct')),

@@ -89,3 +89,12 @@ def test_paths_from_all_methods_over_all_types(spark, tmp_path):
     tail = "x1,x2,x3,k1"
     assert {r.path for r in QUERIES["g2_all_paths"](spark, str(tmp_path)).collect()} == {f"m1,{tail}", f"m2,{tail}"}
     assert {r.path for r in QUERIES["i10_dependency_paths"](spark, str(tmp_path)).collect()} == {f"m1,{tail}", f"m2,{tail}", f"m0,m1,{tail}"}
+
+
+def test_shortest_paths_of_ten_nodes(spark, tmp_path):
+    df = edges(spark, ring(12))
+    df.write.parquet(f"{tmp_path}/edges.parquet")
+    columns = "graph_id string, id string, label string, type string, element_id string, name string, file_path string, line_number int, complexity int, visibility string, docstring string, created_at timestamp"
+    spark.createDataFrame([("g", "n00", "n00", "class", None, "n00", "f.py", 1, 1, "public", None, None)], columns).write.parquet(f"{tmp_path}/nodes.parquet")
+    got = {r.target: r.length for r in QUERIES["g1_shortest"](spark, str(tmp_path)).collect()}
+    assert got == {f"n{k:02}": k for k in range(10)}
