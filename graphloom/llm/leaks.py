@@ -8,15 +8,18 @@ segments, extended, and verified by Myers' bit-parallel edit distance.
 
 from __future__ import annotations
 
+import math
 import re
 from bisect import bisect_right
 from collections import Counter, defaultdict
 
 import ahocorasick
+import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, functions as F
 
 from graphloom.llm.arrow import map_rows, strings
+from graphloom.session import scratch_table
 
 #: Successive words of an item that make a passage.
 LEAST = 25
@@ -53,26 +56,45 @@ def normal(text: str) -> str:
     return f" {_OTHER.sub(' ', text).strip()} "
 
 
+def sentences(text: str | None) -> list[str]:
+    """The normalised sentences of an item."""
+    return [p for s in _SENTENCE.split(text or "") if (p := normal(s).strip())]
+
+
+def without_stock(parts: list[str], stock) -> list[str]:
+    """Words of an item without the stock instructions that it opens with."""
+    k = 0
+    while k < len(parts) and parts[k].count(" ") >= STOCK_WORDS - 1 and parts[k] in stock:
+        k += 1
+    return " ".join(parts[k:]).split()
+
+
 def passages(items: list[tuple[int, str]]) -> list[tuple[int, list[str]]]:
     """Words of each item without the stock instructions that open many items."""
-    parts = {i: [p for s in _SENTENCE.split(t or "") if (p := normal(s).strip())] for i, t in items}
-    lead = Counter()
-    for p in parts.values():
-        lead.update(p[:1])
-    out = []
-    for i, p in parts.items():
-        while p and lead[p[0]] >= STOCK_ITEMS and p[0].count(" ") >= STOCK_WORDS - 1:
-            p = p[1:]
-        out.append((i, " ".join(p).split()))
-    return out
-
-
-def myers(pattern: list[str], text: list[str]) -> int:
+    parts = {i: sentences(t) for i, t in items}
+    lead = Counter(p[0] for p in parts.values() if p)
+    stock = {x for x, n in lead.items() if n >= STOCK_ITEMS}
+    return [(i, without_stock(p, stock)) for i, p in parts.items()]
+
+
+def threes(words: list[str]) -> list[str]:
+    """The different three-word sequences of an item."""
+    return [*{" ".join(words[k : k + 3]) for k in range(len(words) - 2)}]
+
+
+def common_threes(items: list[tuple[int, list[str]]]) -> set[str]:
+    """Three-word sequences of so many items that they tell none of them."""
+    count = Counter(t for _, w in items for t in threes(w))
+    least = max(4, COMMON * len(items))
+    return {t for t, n in count.items() if n >= least}
+
+
+def myers(pattern: list, text: list) -> int:
     """The least edit distance, over words, between the pattern and any part of the text."""
     m = len(pattern)
     if not m:
         return 0
-    masks: dict[str, int] = defaultdict(int)
+    masks: dict = defaultdict(int)
     for k, w in enumerate(pattern):
         masks[w] |= 1 << k
     full, high = (1 << m) - 1, 1 << (m - 1)
@@ -91,24 +113,26 @@ def myers(pattern: list[str], text: list[str]) -> int:
 
 
 class Finder:
-    """Finds items in texts."""
+    """Finds items in texts. ``common`` are the three-word sequences that tell no item; by default those of these items."""
 
-    def __init__(self, items: list[tuple[int, list[str]]]):
-        self.words = dict(items)
-        threes = lambda w: [(w[k], w[k + 1], w[k + 2]) for k in range(len(w) - 2)]
-        count = Counter(t for _, w in items for t in set(threes(w)))
-        least = max(4, COMMON * len(items))
+    def __init__(self, items: list[tuple[int, list[str]]], common: set[str] | None = None):
+        common = common_threes(items) if common is None else common
+        self.number: dict[str, int] = {}  # of each word of an item; other words have none
+        self.words: dict[int, list[int]] = {}
         self.distinct: dict[int, list[bool]] = {}
-        for i, w in items:
-            own = [True] * len(w)
-            for k, t in enumerate(threes(w)):
-                if count[t] >= least:
-                    own[k : k + 3] = [False] * 3
-            self.distinct[i] = own
+        self.arrays: dict[int, tuple[np.ndarray, np.ndarray]] = {}  # both as arrays
         where: dict[str, list[tuple[int, int]]] = defaultdict(list)
         for i, words in items:
+            self.words[i] = [self.number.setdefault(w, len(self.number)) for w in words]
+            own = [True] * len(words)
+            for k in range(len(words) - 2):
+                if " ".join(words[k : k + 3]) in common:
+                    own[k : k + 3] = [False] * 3
+            self.distinct[i] = own
+            self.arrays[i] = np.array(self.words[i], dtype=np.int64), np.array(own, dtype=np.float64)
             for p in range(0, len(words) - PIECE + 1, PIECE):
                 where[" " + " ".join(words[p : p + PIECE]) + " "].append((i, p))
+        self.there = np.zeros(len(self.number))  # words of the text at hand
         self.automaton = ahocorasick.Automaton()
         for piece, at in where.items():
             self.automaton.add_word(piece, (len(piece), at))
@@ -121,7 +145,7 @@ class Finder:
         return [i for i, n in self.lengths(text).items() if n >= LEAST - EDGE]
 
     def lengths(self, text: str | None) -> dict[int, int]:
-        """For each item with hits, the words of its longest passage in the text."""
+        """For each item with hits, the words of its longest passage in the text; shorter ones than LEAST - EDGE may be left out."""
         if not text or not self.any:
             return {}
         line = normal(text)
@@ -135,98 +159,122 @@ class Finder:
         for w in words:
             starts.append(at)
             at += len(w) + 1
-        out = {}
+        doc = [self.number.get(w, -1) for w in words]
+        out, known = {}, [w for w in {*doc} if w >= 0]
+        self.there[known] = 1
+        hits = {i: h for i, h in hits.items() if self.may(i, self.there)}
+        self.there[known] = 0
         for i, h in hits.items():
-            own = [(bisect_right(starts, c) - 1, p) for c, p in h]
-            if n := self.longest(self.words[i], self.distinct[i], words, own):
+            own = sorted((bisect_right(starts, c) - 1, p) for c, p in h)
+            if n := self.longest(self.words[i], self.distinct[i], doc, own):
                 out[i] = n
         return out
 
-    def longest(self, item: list[str], distinct: list[bool], doc: list[str], hits: list[tuple[int, int]]) -> int:
-        segments: list[list[int]] = []  # item from, to; document from, to
-        for d, p in sorted(hits):
-            for s in reversed(segments[-8:]):
-                if p >= s[1] and d >= s[3] and abs((p - s[1]) - (d - s[3])) <= BUDGET and p - s[1] <= 2 * PIECE + BUDGET:
-                    s[1], s[3] = p + PIECE, d + PIECE
-                    break
-            else:
-                segments.append([p, p + PIECE, d, d + PIECE])
-        good = []
-        whole: list[list[int]] = []
+    def may(self, i: int, there: np.ndarray) -> bool:
+        """Whether LEAST - EDGE successive words of the item exist of whose distinctive ones enough are marked as there."""
+        words, own = self.arrays[i]
+        sums = np.zeros(len(words) + 1)
+        np.cumsum(own * (there[words] - OWN), out=sums[1:])
+        n = LEAST - EDGE
+        return len(words) >= n and bool((sums[n:] >= np.minimum.accumulate(sums)[:-n] - 1e-9).any())
+
+    def longest(self, item: list[int], distinct: list[bool], doc: list[int], hits: list[tuple[int, int]]) -> int:
+        """The words of the longest passage around the hits, which go by their places in the document."""
+        near = range(-BUDGET, BUDGET + 1)
+        segments: dict[int, list[int]] = {}  # item from, to; document from, to: by the diagonal of their ends, if open
+        closed, whole, last = [], [], {}
         for d, p in hits:
-            if not any(s[0] <= p and p + PIECE <= s[1] and s[2] <= d and d + PIECE <= s[3] for s in whole[-8:]):
+            g = d - p
+            fits = [s for s in (segments.values() if len(segments) < 9 else filter(None, map(segments.get, range(g - BUDGET, g + BUDGET + 1)))) if -BUDGET <= g - s[3] + s[1] <= BUDGET and p >= s[1] and d >= s[3] and p - s[1] <= 2 * PIECE + BUDGET]
+            s = max(fits, key=lambda s: s[3]) if fits else [p, p, d, d]
+            if fits:
+                del segments[s[3] - s[1]]
+            s[1], s[3] = p + PIECE, d + PIECE
+            if g in segments:
+                closed.append(segments[g])
+            segments[g] = s
+            # a hit inside of a passage that is known needs no search of its own
+            if not last or not any((s := last.get(g + x)) and s[0] <= p and p + PIECE <= s[1] and s[2] <= d and d + PIECE <= s[3] for x in near):
                 if s := self.passage(item, doc, d, p):
                     whole.append(s)
-        for s in segments:
-            self.extend(item, doc, s)
+                    last[g] = s
         grown = [[*s] for s in whole]
-        for s in grown:
+        segments = [*closed, *segments.values()]
+        for s in segments + grown:
             self.extend(item, doc, s)
-        for s in segments + whole + grown:
+        good = set()
+        for s in {tuple(s) for s in segments + whole + grown}:
             n, errors = s[1] - s[0], myers(item[s[0] : s[1]], doc[s[2] : s[3]])
             if n >= PIECE and errors <= RATE * n:
                 there = set(doc[s[2] : s[3]])
                 own = [item[k] in there for k in range(s[0], s[1]) if distinct[k]]
-                good.append((*s, errors, len(own), sum(own)))
+                good.add((*s, errors, len(own), sum(own)))
         # a passage may be split: segments that follow each other in the item; words between them count as errors
         best = 0
-        good.sort()
-        chains: list[tuple] = []  # start, errors, distinctive words and those found of a passage, its last segment
-        for s in good:
+        # by the item's word that a chain ends before: start, errors, distinctive words and those found -> least end in the document
+        chains: dict[int, dict[tuple[int, int, int, int], int]] = defaultdict(dict)
+        for s in sorted(good):
             starts = {(s[0], *s[4:])}
-            for start, errors, own, hits, t in chains:
-                gap = s[0] - t[1]
-                if -PIECE <= gap <= PIECE and s[1] > t[1] and s[2] >= t[3] - PIECE:
-                    starts.add((start, errors + s[4] + max(gap, 0), own + s[5] + sum(distinct[t[1] : s[0]]), hits + s[6]))
-            for start, errors, own, hits in starts:
+            for end in range(s[0] - PIECE, min(s[0] + PIECE, s[1] - 1) + 1):
+                for (start, errors, own, there), stop in chains.get(end, {}).items():
+                    if s[2] >= stop - PIECE:
+                        gap = max(s[0] - end, 0)
+                        starts.add((start, errors + s[4] + gap, own + s[5] + sum(distinct[end : s[0]]), there + s[6]))
+            for start, errors, own, there in starts:
                 if errors <= RATE * (s[1] - start):
-                    chains.append((start, errors, own, hits, s))
-                    if hits >= OWN * own:
+                    at = chains[s[1]]
+                    at[start, errors, own, there] = min(at.get((start, errors, own, there), s[3]), s[3])
+                    if there >= OWN * own:
                         best = max(best, s[1] - start)
         return best
 
     @staticmethod
-    def passage(item: list[str], doc: list[str], d: int, p: int) -> list[int] | None:
+    def side(item: list[int], doc: list[int], i: int, k: int, step: int, rows: int, columns: int) -> list[tuple[int, int]]:
+        """For 0 to BUDGET errors the most words of the item (at most ``rows``) and of the document from a place on, in one
+        direction, up to an equal pair: furthest points of each diagonal, error by error."""
+        reached = {}
+        best, top = [], (0, 0)
+        for e in range(BUDGET + 1):
+            now = {}
+            for g in range(-e, e + 1):  # document words more than item words
+                if e:
+                    r = max(reached.get(g, -9) + 1, reached.get(g - 1, -9), reached.get(g + 1, -9) + 1)
+                    if r > rows or r + g > columns:
+                        r = min(rows, columns - g)
+                    if r < 0 or r + g < 0:
+                        continue
+                else:
+                    r = 0
+                a, x, y, n = r, i + r * step, k + (r + g) * step, min(rows, columns - g)
+                while r < n and item[x] == doc[y]:
+                    r, x, y = r + 1, x + step, y + step
+                now[g] = r
+                if r > a and r > top[0]:
+                    top = (r, r + g)
+            best.append(top)
+            reached = now
+        return best
+
+    @classmethod
+    def passage(cls, item: list[int], doc: list[int], d: int, p: int) -> list[int] | None:
         """The passage around an unchanged piece, as item from, to; document from, to: the longest of LEAST words at most
-        with BUDGET errors, or None. EDGE words may be missing at its ends, and count as errors."""
+        on a side with BUDGET errors, or None. EDGE words may be missing at its ends, and count as errors."""
         side, far = LEAST - PIECE, LEAST - PIECE + BUDGET
         there = set(doc[max(0, d - far) : d + PIECE + far])
         if sum(map(there.__contains__, item[max(0, p - side) : p + PIECE + side])) < LEAST - BUDGET:
             return None  # fewer words of the item are near than any passage keeps
-        sides = []
-        for step in (-1, 1):
-            i, k = (p + PIECE, d + PIECE) if step == 1 else (p - 1, d - 1)
-            rows = min(side, len(item) - i if step == 1 else i + 1)
-            columns = len(doc) - k if step == 1 else k + 1
-            best = [(0, 0)] * (BUDGET + 1)  # item and document words up to the last equal pair, by errors
-            before = {c: c for c in range(min(BUDGET, columns) + 1)}
-            for r in range(1, rows + 1):
-                word, now = item[i + (r - 1) * step], {}
-                for c in range(max(0, r - BUDGET), min(columns, r + BUDGET) + 1):
-                    e = min(before.get(c, BUDGET), now.get(c - 1, BUDGET)) + 1
-                    if c and (c - 1) in before:
-                        if word == doc[k + (c - 1) * step]:
-                            e = min(e, before[c - 1])
-                            if before[c - 1] <= BUDGET:
-                                best[before[c - 1]] = (r, c)
-                        else:
-                            e = min(e, before[c - 1] + 1)
-                    if e <= BUDGET:
-                        now[c] = e
-                if not now:
-                    break
-                before = now
-            sides.append(best)
+        left = cls.side(item, doc, p - 1, d - 1, -1, min(side, p), d)
+        right = cls.side(item, doc, p + PIECE, d + PIECE, 1, min(side, len(item) - p - PIECE), len(doc) - d - PIECE)
         found = None
-        for e, (lr, lc) in enumerate(sides[0]):
-            for e2, (rr, rc) in enumerate(sides[1][: BUDGET + 1 - e]):
+        for e, (lr, lc) in enumerate(left):
+            for e2, (rr, rc) in enumerate(right[: BUDGET + 1 - e]):
                 n = lr + PIECE + rr
                 if n >= LEAST - EDGE and e + e2 + max(0, LEAST - n) <= BUDGET and (found is None or n > found[1] - found[0]):
                     found = [p - lr, p + PIECE + rr, d - lc, d + PIECE + rc]
         return found
 
     @staticmethod
-    def extend(item: list[str], doc: list[str], s: list[int]) -> None:
+    def extend(item: list[int], doc: list[int], s: list[int]) -> None:
         """Grow a segment at both ends over equal words, and over errors that two equal words follow, within the rate."""
         errors = abs((s[1] - s[0]) - (s[3] - s[2]))
         for step in (1, -1):
@@ -253,24 +301,63 @@ class Finder:
                 s[0], s[2] = i + 1, d + 1
 
 
+def prepared(items: DataFrame, block: int) -> tuple[DataFrame, set[str], int]:
+    """Items as queries, written once: item_id, words (without stock instructions) and block; the common three-word
+    sequences; and the number of blocks.
+
+    Both statistics are counted over all items, so blocks don't change the result. Of the sequences at most 20 times the
+    mean number of an item's words are common, so their set is small. A block follows from the hash of the id.
+    """
+    spark = items.sparkSession
+    kind = items.schema["item_id"].dataType.simpleString()
+    whole = items.where("item_id IS NOT NULL AND text IS NOT NULL").groupBy("item_id").agg(F.array_join(F.sort_array(F.collect_set("text")), "\n").alias("text"))
+
+    def cut():
+        def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+            parts = pa.array([sentences(t) for t in strings(batch, "text")], pa.list_(pa.string()))
+            return pa.RecordBatch.from_arrays([batch.column(0), parts], names=["item_id", "parts"])
+
+        return run
+
+    parts = scratch_table(map_rows(whole, cut, f"item_id {kind}, parts array<string>"), "items")
+    lead = parts.where("size(parts) > 0").groupBy(F.col("parts")[0].alias("part")).agg(F.count("*").alias("n")).where(F.col("n") >= STOCK_ITEMS).select("part")
+    opens = parts.select("item_id", F.explode("parts").alias("part")).join(lead, "part", "left_semi").groupBy("item_id").agg(F.collect_set("part").alias("stock"))
+
+    def strip():
+        def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+            words = [without_stock(p, set(s or ())) for p, s in zip(strings(batch, "parts"), strings(batch, "stock"))]
+            cols = [pa.array(x, pa.list_(pa.string())) for x in (words, [threes(w) for w in words])]
+            return pa.RecordBatch.from_arrays([batch.column(0), *cols], names=["item_id", "words", "threes"])
+
+        return run
+
+    known = scratch_table(map_rows(parts.join(opens, "item_id", "left").select("item_id", "parts", "stock"), strip, f"item_id {kind}, words array<string>, threes array<string>"), "items")
+    n = known.count()
+    count = known.select(F.explode("threes").alias("three")).groupBy("three").agg(F.count("*").alias("n"))
+    common = {t for (t,) in count.where(F.col("n") >= max(4.0, COMMON * n)).select("three").toLocalIterator()}
+    blocks = max(1, -(-n // block))
+    return known.select("item_id", "words", F.pmod(F.xxhash64("item_id"), F.lit(blocks)).alias("block")), common, blocks
+
+
 def leaks(documents: DataFrame, items: DataFrame, block: int = BLOCK) -> DataFrame:
     """doc_id, item_id and words (of the longest passage) for each document with a passage of an item, once.
 
-    Items are a query set of stated size, read to the driver in blocks of ``block`` items; each block is broadcast as an
-    automaton and meets all documents in one pass without a shuffle. Null, empty and short items have no passages; null
-    and empty texts hold none; repeated rows count once; texts are read whole; other columns are ignored.
+    Items are a query set of stated size, read to the driver in blocks of about ``block`` items; each block is broadcast
+    as an automaton and meets all documents in one pass without a shuffle. Null, empty and short items have no passages;
+    null and empty texts hold none; repeated rows count once, and different texts of one item id are one item; texts are
+    read whole; other columns are ignored.
     """
     spark = documents.sparkSession
     doc_kind, item_kind = (x.schema[c].dataType.simpleString() for x, c in ((documents, "doc_id"), (items, "item_id")))
     texts = documents.select("doc_id", "text")
-    found = spark.createDataFrame([], f"doc_id {doc_kind}, item_id {item_kind}, words int")
-    waiting: dict[int, str] = {}
+    known, common, blocks = prepared(items, block)
 
-    def search(block_items: dict) -> DataFrame:
-        shared = spark.sparkContext.broadcast([x for x in passages([*block_items.items()]) if len(x[1]) >= LEAST - EDGE])
+    def search(number: int) -> DataFrame:
+        rows = [(i, w) for i, w in known.where(F.col("block") == number).select("item_id", "words").toLocalIterator() if len(w) >= LEAST - EDGE]
+        shared = spark.sparkContext.broadcast((rows, common))
 
         def make():
-            finder = Finder(shared.value)
+            finder = Finder(*shared.value)
 
             def run(batch: pa.RecordBatch) -> pa.RecordBatch:
                 rows, keys = [], []
@@ -286,17 +373,10 @@ def leaks(documents: DataFrame, items: DataFrame, block: int = BLOCK) -> DataFra
 
         return map_rows(texts, make, f"doc_id {doc_kind}, item_id long, words int")
 
-    blocks = []
-    for i, text in items.select("item_id", "text").where("item_id IS NOT NULL AND text IS NOT NULL").distinct().toLocalIterator():
-        waiting[i] = text if i not in waiting else waiting[i] + "\n" + text
-        if len(waiting) >= block:
-            blocks.append(search(waiting))
-            waiting = {}
-    if waiting:
-        blocks.append(search(waiting))
-    for b in blocks:
-        found = found.unionByName(b) if len(blocks) > 1 else b
-    return found.groupBy("doc_id", "item_id").agg({"words": "max"}).withColumnRenamed("max(words)", "words")
+    found = search(0)
+    for b in range(1, blocks):
+        found = found.unionByName(search(b))
+    return found.groupBy("doc_id", "item_id").agg(F.max("words").alias("words")).select("doc_id", F.col("item_id").cast(item_kind).alias("item_id"), "words")
 
 
 def leak_pairs(documents: DataFrame, items: DataFrame) -> DataFrame:

@@ -44,3 +44,31 @@ def test_a_mould_with_a_colon_is_no_instruction():
 def test_a_short_opening_line_stays():
     words = dict(leaks.passages([(i, f"Two players alternate.\nrest of item {i}") for i in range(5)]))
     assert words[2] == "two players alternate rest of item 2".split()
+
+
+def test_shortest_passages_with_errors_anywhere():
+    finder, rnd = leaks.Finder([(1, ITEM)]), random.Random(5)
+    for errors in range(5):
+        hits = 0
+        for _ in range(300):
+            a = rnd.randrange(60 - 25 + 1)
+            part = ITEM[a : a + 25]
+            for k in sorted(rnd.sample(range(25), errors), reverse=True):
+                part[k : k + 1] = rnd.choice([["other"], [], [part[k], "more"]])
+            hits += finder.found("x y " + " ".join(part) + " z") == [1]
+        assert hits >= 0.95 * 300, (errors, hits)
+
+
+def test_many_copies_in_one_text():
+    finder = leaks.Finder([(1, ITEM)])
+    assert finder.lengths((" ".join(ITEM[3:40]) + " x y z ") * 3000) == {1: 37}
+    assert finder.found((" ".join(ITEM[3:10]) + " x y z ") * 3000) == []
+
+
+def test_blocks_do_not_change_the_result(spark):
+    rnd = random.Random(6)
+    items = [(i, f"Two players alternate in the game of stones {i}. " + " ".join(f"u{rnd.randrange(400)}" for _ in range(40))) for i in range(60)]
+    docs = [(k, f"some words {k} " + " ".join(items[k % 60][1].split()[8 : 8 + 20 + k % 17])) for k in range(200)]
+    d, i = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items + items[:5], "item_id long, text string")
+    found = [sorted(map(tuple, leaks.leaks(d, i, block).collect())) for block in (10, 30, 20_000)]
+    assert found[0] == found[1] == found[2] and len(found[0]) > 50
