@@ -1,245 +1,283 @@
 """Keyword-stuffed and link-list pages (problem 9).
 
-Each line becomes a sequence of function-word and word classes. A trigram model trained on prose scores it; lines whose
-perplexity is abnormally low (runs of bare words) or high (links, tags) are candidates, and a check of the candidate's
-own text tells keywords, links and tags from code, output, tables and short headings. A page is spam if most of its
-letters lie in such lines.
+A page becomes a sequence of function-word and word classes. Links, tags, words that come again after the same word, and
+long runs of words without a function word are symbols of that sequence. A trigram model trained on prose scores each
+symbol; a line or window whose perplexity lies outside of what prose has is abnormal, too high (keywords, links, tags)
+or too low (one pattern over and over), and a page is spam if most of its symbols stand in abnormal places.
 """
 
 from __future__ import annotations
 
 import re
-from collections import Counter
+from collections.abc import Iterator
 from itertools import chain
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, functions as F
 
-from graphloom.llm.arrow import bounded_sample, map_rows, strings
+from graphloom.llm.arrow import map_rows, pieces, strings
 from graphloom.llm.wordclasses import IDS, SIZE, TOKEN, TokenClass
+from graphloom.session import scratch_table
+
+#: Parts of the prose's lines whose perplexity counts as too high and as too low.
+TOO_HIGH, TOO_LOW = 0.008, 0.0005
+#: A page is spam if at least this part of its symbols stands in abnormal places, and it has at least so many symbols.
+SPAM_SHARE, LEAST_SYMBOLS = 0.8, 16
+#: A line is scored as a whole if it has so many symbols; a shorter one with as many symbols on both sides.
+WINDOW = 8
+#: A line is prose to the model if it has so many words and at least this part of them are function words.
+PROSE_WORDS, PROSE_SHARE = 4, 0.2
+#: Content words without a function word, sentence end or figure between them that make a run long and very long.
+LONG_RUN, VERY_LONG_RUN = 4, 8
+#: Earlier times that a word has come after the same word, which make it a repeated and a stuffed one.
+REPEATED, STUFFED = 1, 3
+#: A line without links and tags is technical, so neither prose nor spam, if it has at most so many words for each figure, or
+#: for each bracket, figure and sign.
+FIGURE_WORDS, SIGN_WORDS = 4, 2
+#: Width of a bin of line scores in the histogram that the bounds come from.
+BIN = 0.01
 
-#: The model is fitted on the prose lines of at most so many documents, chosen by the hashes of their ids.
-TRAIN_DOCS = 2000
-#: Lines of the training prose below and above these parts of its perplexities are abnormal.
-LOW, HIGH = 0.02, 0.98
-#: A page is spam if at least this part of its letters is, and it holds at least so many keywords, links and tags.
-SPAM_SHARE, LEAST_ITEMS = 0.5, 8
-#: A line with a smaller part of function words is a candidate whatever its perplexity.
-FEW = 0.25
-WORDS_A_SENTENCE = 30
-#: Repeated three-word phrases that cover this part of at least so many words make a page spam.
-REPEATED_SHARE, LEAST_REPEATED = 0.6, 40
-FUNCTION = IDS["adverb"] + 1  # classes below are function words
-_PROSE = re.compile(r"[^\n]*[^\s|#*>\-][^\n]*[.!?。！？]\s*")
-
-
-def _classes(texts: list[str], known: TokenClass) -> tuple[np.ndarray, np.ndarray]:
-    """Class numbers of all texts one after another, each text ended by a line class; and the number of each text's tokens."""
-    found = [TOKEN.findall(t) for t in texts]
-    counts = np.fromiter(map(len, found), dtype=np.int64, count=len(found))
-    return np.fromiter(map(known.__getitem__, chain.from_iterable(found)), dtype=np.int16, count=int(counts.sum())), counts
-
-
-def fit(lines: list[str]) -> dict:
-    """Log probabilities of trigrams, interpolated with bigrams and single classes, and the bounds of normal lines."""
-    known = TokenClass()
-    ids, counts = _classes(lines, known)
-    start, starts = IDS["start"], np.concatenate([[0], np.cumsum(counts)[:-1]]).astype(np.int64)
-    a, b = _context(ids, starts, start)
-    tri = np.ones(SIZE**3) * 0.001
-    np.add.at(tri, (a * SIZE + b) * SIZE + ids, 1)
-    tri = tri.reshape(SIZE, SIZE, SIZE)
-    bi, uni = tri.sum(0) + 0.01, tri.sum((0, 1)) + 1
-    p = 0.6 * tri / tri.sum(2, keepdims=True) + 0.3 * (bi / bi.sum(1, keepdims=True))[None] + 0.1 * uni / uni.sum()
-    model = {"logp": np.log(p).astype(np.float32).reshape(-1)}
-    score = _line_scores(model, ids, starts, counts)[counts >= 4]
-    model["low"], model["high"] = (float(np.quantile(score, q)) if len(score) else x for q, x in ((1 - HIGH, -np.inf), (1 - LOW, 0.0)))
-    return model
-
-
-def _context(ids: np.ndarray, starts: np.ndarray, start: int) -> tuple[np.ndarray, np.ndarray]:
-    """The two classes before each one, with start classes at the beginning of a line."""
-    b = np.concatenate([[start], ids[:-1]]).astype(np.int64)
-    a = np.concatenate([[start, start], ids[:-2]]).astype(np.int64)[: len(ids)]
-    s = starts[starts < len(ids)]
-    b[s] = start
-    a[s] = start
-    s = s[s + 1 < len(ids)] + 1
-    a[s] = start
-    return a, b
-
-
-def _line_scores(model: dict, ids: np.ndarray, starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
-    """The mean log probability of each line, the negative logarithm of its perplexity; 0 for empty lines."""
-    out = np.zeros(len(counts))
-    if len(ids):
-        a, b = _context(ids, starts, IDS["start"])
-        logp = model["logp"][(a * SIZE + b) * SIZE + ids].astype(np.float64)
-        total = np.concatenate([[0], np.cumsum(logp)])
-        out = (total[starts + counts] - total[starts]) / np.maximum(counts, 1)
+_FENCE = re.compile(r"(?ms)^[ \t]*(?:```|~~~).*?(?:^[ \t]*(?:```|~~~)[^\n]*$|\Z)")
+#: Common and reserved top-level domains.
+_HOST = r"(?:[a-zA-Z0-9][a-zA-Z0-9\-]*\.)+(?:com|org|net|io|info|biz|dev|app|co|edu|gov|eu|uk|de|fr|es|it|pt|ru|cn|jp|example|test|invalid)\b(?!\()(?:/[^\s<>\"')\]]*)?"
+_PIECE = re.compile(r"</?(?!meta\b)[a-zA-Z][^<>\n]*>|!?\[!?\[?(?=[^\[\]\n]*\]\()|\]\([^\s()]*\)|(?:https?://|www\.)[^\s<>\"')\]]+|" + _HOST + "|" + TOKEN.pattern)
+
+
+def _kinds(*names: str) -> np.ndarray:
+    out = np.zeros(SIZE, dtype=bool)
+    out[[IDS[n] for n in names]] = True
     return out
 
 
-_META = re.compile(r"<meta\b[^>]*\bcontent=[\"']([^\"'>]*)[\"'][^>]*>?", re.I)
-_HTML, _URL = re.compile(r"</?[a-zA-Z][^<>]*>"), re.compile(r"https?://[^\s<>\"')\]]+|\bwww\.[^\s<>\"')\]]+")
-_TAGS, _MD = re.compile(r"(?<!\w)#\w+"), re.compile(r"!?\[|\]\(?|\)")
-_CODE = re.compile(r"[{}=]|;(?!\s+\w)|\w\(|\(\)|->|=>|::|^\s*(?:[$>%]|\+\+\+|---|@@|\d{4}-\d\d-\d\d|\[?(?:INFO|WARN|ERROR|DEBUG)\b)|\w\.\w+\(|\b(?:def|class|return|import|func|const|let|var|public|private)\b\s+\w+\s*[({:=]")
-_FIGURE = re.compile(r"(?<![\w-])[-+]?\d+(?:[.,:]\d+)*%?(?:\s*(?:ms|s|kb|mb|gb|x))?(?![\w-])", re.I)
-
-
-def spam_items(line: str, known: TokenClass) -> int:
-    """The number of keywords, links and tags in a line that is nothing else; 0 for sentences, code, output, figures."""
-    if "<meta" in line.lower():
-        line = _META.sub(r"\1", line)
-    bare, links = _URL.subn(" ", _HTML.sub(" ", line) if "<" in line else line)
-    if "<" in line:
-        links = max(links, len(_URL.findall(line)))
-    bare, tags = _TAGS.subn(" ", bare)
-    bare = _MD.sub(" ", bare)
-    kinds = [known[t] for t in TOKEN.findall(bare)]
-    letters = [k for k in kinds if k <= IDS["code word"]]
-    function = sum(k < FUNCTION or k == IDS["han grammar"] for k in letters) + 0.5 * sum(k == IDS["hiragana"] for k in letters)
-    han = sum(IDS["hiragana"] <= k <= IDS["katakana"] for k in letters)
-    if letters and function / len(letters) > (0.25 if han * 2 < len(letters) else 0.2) and len(letters) > 3:
-        return 0  # words of a sentence
-    items = links + tags
-    words = len(letters) - han + han // 3
-    if not items:
-        if _CODE.search(bare) or len(_FIGURE.findall(bare)) * 4 > words:
-            return 0
-        return words if words >= 2 else 0
-    return items + words
+_FUNCTION = np.arange(SIZE) <= IDS["adverb"]
+_LETTERS = _kinds("han", "katakana", "hiragana", "han grammar")  # of scripts without blanks
+_WORD, _CONTENT_LETTER = _kinds("word", "capital"), _kinds("han", "katakana")
+_OTHER_WORD = _kinds("link", "tag", "code word")
+_GRAMMAR = _FUNCTION | _kinds("hiragana", "han grammar")
+_TEXT = _WORD | _CONTENT_LETTER | _GRAMMAR | _OTHER_WORD
+_ENDS_RUN = _GRAMMAR | _kinds("end", "number")
+_FIGURE, _SIGNS, _LINKS = _kinds("number"), _kinds("number", "bracket", "sign"), _kinds("link", "tag")
+LINE, START = IDS["line"], IDS["start"]
+# symbols beyond the classes: repeated function words, repeated letters, and words and letters by repetition and run
+_AGAIN_FUNCTION, _AGAIN_LETTER, _MARKED_WORD, _MARKED_LETTER = SIZE - 1, SIZE + 1, SIZE + 4, SIZE + 13
+SYMBOLS = SIZE + 22
 
 
-_FENCE = re.compile(r"(?ms)^[ \t]*(?:```|~~~).*?(?:^[ \t]*(?:```|~~~)[^\n]*$|\Z)")
+class Classes(TokenClass):
+    """Classes of tokens, with links by their markup; -1 for markup that is no symbol."""
 
+    def __missing__(self, t: str) -> int:
+        if len(t) > 1 and (t[0] == "<" and t[-1] == ">" or t[0] == "[" or t[:2] == "!["):
+            return IDS["link"] if t[0] == "<" and re.search(r"https?:|www\.", t) else -1
+        host = "." in t and t[0].isalnum() and t.strip("0123456789.,:")
+        return IDS["link"] if host or t[:2] == "](" else super().__missing__(t)
 
-def repeated_words(text: str) -> int:
-    """The words that repeated phrases cover, if they cover most of a text; else 0.
 
-    Such a text has an abnormally low perplexity under its own trigrams, however many function words stand between.
-    Code is left out. A text of few different words is told by the share of its most frequent ones first.
-    """
-    words = text.lower().split()
-    n = len(words)
-    if n < LEAST_REPEATED or sum(k for _, k in Counter(words).most_common(8)) < 0.4 * n:
-        return 0
-    words = [w for line in _FENCE.sub("\n", text).split("\n") if not _CODE.search(line) for w in re.findall(r"[^\W_]+", line.lower())]
-    n = len(words)
-    if n < LEAST_REPEATED:
-        return 0
-    threes = Counter(zip(words, words[1:], words[2:]))
-    inside = np.zeros(n, dtype=bool)
-    for k, t in enumerate(zip(words, words[1:], words[2:])):
-        if threes[t] >= 4:
-            inside[k : k + 3] = True
-    covered = int(inside.sum())
-    return covered if covered >= REPEATED_SHARE * n else 0
-
-
-class Scorer:
-    def __init__(self, model: dict):
-        self.model, self.known = model, TokenClass()
-
-    def shares(self, texts: list[str | None]) -> list[tuple[float, int]]:
-        """For each text the part of its letters in spam lines, and the number of items there."""
-        lines = [[] if not t else t.replace("\r\n", "\n").replace("\r", "\n").split("\n") for t in texts]
-        flat = list(chain.from_iterable(lines))
-        if not flat:
-            return [(0.0, 0)] * len(texts)
-        ids, counts = _classes(flat, self.known)
-        starts = np.concatenate([[0], np.cumsum(counts)[:-1]]).astype(np.int64)
-        score = _line_scores(self.model, ids, starts, counts)
-        # short lines have no stable perplexity: all are candidates
-        candidate = (counts > 0) & ((counts < 4) | (score < self.model["low"]) | (score > self.model["high"]))
-        # a line with few function words isn't prose however usual its classes are
-        function, words = (np.concatenate([[0], np.cumsum(x)]) for x in ((ids < FUNCTION) | (ids == IDS["hiragana"]) | (ids == IDS["han grammar"]), ids <= IDS["code word"]))
-        candidate |= (counts > 0) & (function[starts + counts] - function[starts] < FEW * (words[starts + counts] - words[starts]))
-        candidate |= (counts > 0) & (words[starts + counts] == words[starts])
-        out, at = [], 0
-        for text, own in zip(texts, lines):
-            n = len(own)
-            spam = items = total = 0
-            if text and (repeated := repeated_words(text)):
-                out.append((1.0, repeated))
-                at += n
-                continue
-            hits = np.flatnonzero(candidate[at : at + n])
-            if len(hits):
-                total = sum(map(len, own)) - sum(x.count(" ") for x in own)
-                fenced = _fenced(own) if any(x.lstrip()[:3] in ("```", "~~~") for x in own) else ()
-                found = [(k, c) for k in hits.tolist() if k not in fenced and (c := spam_items(own[k], self.known))]
-                letters = lambda rows: sum(len(own[k]) - own[k].count(" ") for k, _ in rows)
-                if letters(found) >= SPAM_SHARE * total:  # sentences of languages with few function words, broken into lines
-                    prose = prose_lines(own)
-                    found = [(k, c) for k, c in found if k not in prose]
-                items, spam = sum(c for _, c in found), letters(found)
-            out.append((spam / total if total else 0.0, items))
-            at += n
-        return out
-
-
-_SENTENCE_END = re.compile(r"(?<=[^\W\d_])[.!?][\"')\]*_]*(?=\s|$)|[。！？]")
-
-
-def prose_lines(lines: list[str]) -> set[int]:
-    """Lines of paragraphs in which a sentence ends every WORDS_A_SENTENCE words or sooner; lines with links or tags only
-    if one ends in them."""
-    out, block = set(), []
-    for k, x in enumerate([*lines, ""]):
-        if x.strip():
-            block.append(k)
-            continue
-        ends = {j: len(_SENTENCE_END.findall(lines[j])) for j in block}
-        words = sum(len(_URL.sub("", lines[j]).split()) for j in block)
-        if words <= WORDS_A_SENTENCE * sum(ends.values()):
-            out.update(j for j in block if ends[j] or not (_URL.search(lines[j]) or _TAGS.search(lines[j])))
-        block = []
-    return out
+def technical(kinds: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """Whether each line, given by its start, is one of figures, code or output."""
+    if not len(kinds):
+        return np.zeros(0, dtype=bool)
+    words, figures, signs, links = (np.add.reduceat(x[kinds].astype(np.int64), starts) for x in (_TEXT, _FIGURE, _SIGNS, _LINKS))
+    return (links == 0) & (signs > 0) & ((FIGURE_WORDS * figures >= words) & (figures > 0) | (SIGN_WORDS * signs >= words))
 
 
-def _fenced(lines: list[str]) -> set[int]:
-    """Lines of fenced code."""
-    inside, out = False, set()
-    for k, x in enumerate(lines):
-        if x.lstrip()[:3] in ("```", "~~~"):
-            inside = not inside
-            out.add(k)
-        elif inside:
-            out.add(k)
-    return out
+def symbols(texts: list[str | None], known: Classes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Class and symbol of each token of all texts one after another, and the number of each text's tokens.
+
+    Fenced code becomes a line of signs.
+    """
+    tokens = [_PIECE.findall(_FENCE.sub(lambda m: "\n" + "=" * (len(m[0]) // 5) + "\n", t) if "```" in t or "~~~" in t else t) if t else [] for t in texts]
+    flat = [*chain.from_iterable(tokens)]
+    kinds = np.fromiter(map(known.__getitem__, flat), dtype=np.int64, count=len(flat))
+    page = np.repeat(np.arange(len(texts)), np.fromiter(map(len, tokens), dtype=np.int64, count=len(tokens)))
+    keep = kinds >= 0
+    number: dict[str, int] = {}
+    words = np.fromiter((number.setdefault(t.lower(), len(number)) for t in flat), dtype=np.int64, count=len(flat))
+    kinds, page, words = kinds[keep], page[keep], words[keep]
+    counts = np.bincount(page, minlength=len(texts)) if len(texts) else np.zeros(0, np.int64)
+    if not len(kinds):
+        return kinds, kinds, counts
+    # earlier times of each pair of words (of four letters in scripts without blanks) in its page
+    at = np.flatnonzero(_TEXT[kinds] | _LETTERS[kinds])
+    again = np.zeros(len(kinds), dtype=np.int64)
+    if len(at):
+        w = words[at].astype(np.uint64)
+        two = np.concatenate([w[:1], w[:-1]]) * np.uint64(0x9E3779B97F4A7C15) + w
+        four = np.concatenate([two[:1], two[:1], two[:-2]])[: len(two)] * np.uint64(0xC2B2AE3D27D4EB4F) + two
+        key = np.where(_LETTERS[kinds[at]], four, two) ^ (page[at].astype(np.uint64) * np.uint64(0x165667B19E3779F9))
+        order = np.argsort(key, kind="stable")
+        new = np.concatenate([[True], key[order][1:] != key[order][:-1]])
+        first = np.maximum.accumulate(np.where(new, np.arange(len(at)), 0))
+        rank = np.empty(len(at), dtype=np.int64)
+        rank[order] = np.arange(len(at)) - first
+        again[at] = (rank >= REPEATED).astype(np.int64) + (rank >= STUFFED)
+    # content words since the last function word, sentence end, figure or page start; three letters count as a word
+    total = np.cumsum((_WORD | _OTHER_WORD)[kinds] + _CONTENT_LETTER[kinds] / 3)
+    begins = np.concatenate([[True], page[1:] != page[:-1]])
+    base = np.maximum.accumulate(np.where(_ENDS_RUN[kinds], total, np.where(begins, np.concatenate([[0.0], total[:-1]]), 0)))
+    run = (total - base > LONG_RUN).astype(np.int64) + (total - base > VERY_LONG_RUN)
+    # names of figures come again from row to row: such lines have no repetitions
+    starts = np.flatnonzero(begins | np.concatenate([[True], kinds[:-1] == LINE]))
+    again[np.repeat(technical(kinds, starts), np.diff(np.concatenate([starts, [len(kinds)]])))] = 0
+    marked = (again > 0) | (run > 0)
+    out = np.where(_WORD[kinds] & marked, _MARKED_WORD + 3 * again + run, kinds)
+    out = np.where(_CONTENT_LETTER[kinds] & marked, _MARKED_LETTER + 3 * again + run, out)
+    out = np.where(_FUNCTION[kinds] & (again > 0), _AGAIN_FUNCTION + again, out)
+    return kinds, np.where(_LETTERS[kinds] & ~_CONTENT_LETTER[kinds] & (again > 0), _AGAIN_LETTER + again, out), counts
+
+
+class Pages:
+    """Sequences of several pages, with their lines and contexts."""
+
+    def __init__(self, kinds: np.ndarray, marks: np.ndarray, counts: np.ndarray):
+        self.kinds, self.marks, self.counts = kinds.astype(np.int64), marks.astype(np.int64), counts
+        n = len(self.kinds)
+        stops = np.cumsum(counts)
+        begin = np.zeros(n + 1, dtype=bool)
+        begin[0] = True
+        begin[np.minimum(np.concatenate([stops, np.flatnonzero(self.kinds == LINE) + 1]), n)] = True
+        self.starts = np.flatnonzero(begin[:n])
+        self.lengths = np.diff(np.concatenate([self.starts, [n]]))
+        b = np.concatenate([[START], self.kinds[:-1]])[:n]
+        a = np.concatenate([[START, START], self.kinds[:-2]])[:n]
+        b[self.starts] = a[self.starts] = START
+        second = self.starts[self.lengths > 1] + 1
+        a[second] = START
+        self.cells = (a * SIZE + b) * SYMBOLS + self.marks
+
+    def per_line(self, values: np.ndarray) -> np.ndarray:
+        return np.add.reduceat(values, self.starts) if len(self.starts) else np.zeros(0)
+
+    def prose(self) -> np.ndarray:
+        """Whether each line is prose."""
+        words, grammar = (self.per_line(x[self.kinds].astype(np.int64)) for x in (_TEXT, _GRAMMAR))
+        return (words >= PROSE_WORDS) & (grammar >= PROSE_SHARE * words)
+
+    def scores(self, table: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The mean log probability of the line or window of each symbol, and of each line: negative logarithms of perplexities."""
+        logp = table[self.cells].astype(np.float64)
+        lines = self.per_line(logp) / np.maximum(self.lengths, 1)
+        out = np.repeat(lines, self.lengths)
+        stops = np.cumsum(self.counts)
+        short = np.flatnonzero(np.repeat(self.lengths < WINDOW, self.lengths))
+        page = np.repeat(np.arange(len(self.counts)), self.counts)[short]
+        low, high = np.maximum(short - WINDOW, (stops - self.counts)[page]), np.minimum(short + WINDOW + 1, stops[page])
+        sums = np.concatenate([[0.0], np.cumsum(logp)])
+        out[short] = (sums[high] - sums[low]) / np.maximum(high - low, 1)
+        return out, lines
+
+
+def log_table(cells: np.ndarray) -> np.ndarray:
+    """Log probabilities of a symbol after two classes, from counts: trigrams interpolated with bigrams and single symbols."""
+    tri = cells.reshape(SIZE, SIZE, SYMBOLS) + 0.001
+    bi, uni = tri.sum(0) + 0.01, tri.sum((0, 1)) + 1
+    p = 0.6 * tri / tri.sum(2, keepdims=True) + 0.3 * (bi / bi.sum(1, keepdims=True))[None] + 0.1 * uni / uni.sum()
+    return np.log(p).astype(np.float32).reshape(-1)
 
 
-def train(documents: DataFrame, train_docs: int = TRAIN_DOCS) -> dict:
-    """Fit on the prose lines of a bounded sample of documents; the sample follows from the ids alone."""
-    least = bounded_sample(documents, "doc_id", train_docs).where("length(text) > 0")
-    lines = [x for (t,) in least.select("text").toLocalIterator() for x in t.splitlines() if _PROSE.fullmatch(x) and len(x) > 25]
-    return fit(lines)
+def bounds(histogram: dict[int, int]) -> tuple[float, float]:
+    """Scores below and above which a place is abnormal, from the histogram of the prose lines' scores."""
+    if not histogram:
+        return -np.inf, np.inf
+    bins = np.array(sorted(histogram))
+    share = np.cumsum([histogram[b] for b in bins]) / sum(histogram.values())
+    return float(bins[np.searchsorted(share, TOO_HIGH)] * BIN), float((bins[np.searchsorted(share, 1 - TOO_LOW)] + 1) * BIN)
 
 
-def spam_scores(documents: DataFrame, train_docs: int = TRAIN_DOCS) -> DataFrame:
-    """doc_id, spam_share (part of the letters in lines of keywords, links or tags), items and spam (whether the page is).
+def shares(pages: Pages, model: tuple[np.ndarray, float, float]) -> tuple[np.ndarray, np.ndarray]:
+    """For each page the part of its symbols, line ends aside, in abnormal places, and the mean score of its symbols.
 
-    Null, empty and blank texts have share 0 and are no spam; repeated rows stay repeated; texts are read whole; other
-    columns are ignored. The model is broadcast; its size is fixed by the number of classes.
+    Figures, code and output count as symbols in normal places.
     """
-    model = documents.sparkSession.sparkContext.broadcast(train(documents, train_docs))
+    table, low, high = model
+    score, _ = pages.scores(table)
+    page, real = np.repeat(np.arange(len(pages.counts)), pages.counts), pages.kinds != LINE
+    long = np.repeat(pages.lengths >= WINDOW, pages.lengths)
+    odd = real & ~np.repeat(technical(pages.kinds, pages.starts), pages.lengths) & ((score < low) | (score > high) & long)
+    count = lambda x: np.bincount(page, weights=x, minlength=len(pages.counts))
+    n = np.maximum(count(real), 1)
+    return count(odd) / n, count(np.where(real, table[pages.cells], 0)) / n
+
+
+def _decoded(batch: pa.RecordBatch) -> Pages:
+    kinds, marks = (strings(batch, c) for c in ("kinds", "marks"))
+    join = lambda x: np.frombuffer(b"".join(x), dtype=np.uint8)
+    return Pages(join(kinds), join(marks), np.fromiter(map(len, kinds), dtype=np.int64, count=len(kinds)))
+
+
+def page_symbols(documents: DataFrame) -> DataFrame:
+    """doc_id, kinds and marks (a byte for each symbol) of every row, written once; further columns are left out."""
     kind = documents.schema["doc_id"].dataType.simpleString()
 
     def make():
-        scorer = Scorer(model.value)
+        known = Classes()
+
+        def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+            kinds, marks, counts = symbols(strings(batch, "text"), known)
+            stops = np.cumsum(counts)
+            cols = [[x[b - n : b].astype(np.uint8).tobytes() for b, n in zip(stops, counts)] for x in (kinds, marks)]
+            return pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, pa.binary()) for c in cols)], names=["doc_id", "kinds", "marks"])
 
+        return run
+
+    return scratch_table(map_rows(documents.select("doc_id", "text"), make, f"doc_id {kind}, kinds binary, marks binary"), "pages")
+
+
+def _totals(pages: DataFrame, counted) -> dict[int, int]:
+    """Sums over all rows of the counts that ``counted`` gives for parts of them; few keys, so the result is small."""
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total: dict[int, int] = {}
+        for batch in it:
+            for part in pieces(batch):
+                for k, n in zip(*counted(_decoded(part))):
+                    total[int(k)] = total.get(int(k), 0) + int(n)
+        yield pa.RecordBatch.from_arrays([pa.array([*total], pa.int64()), pa.array([*total.values()], pa.int64())], names=["k", "n"])
+
+    return dict(map(tuple, pages.select("kinds", "marks").mapInArrow(run, "k long, n long").groupBy("k").agg(F.sum("n")).collect()))
+
+
+def train(pages: DataFrame) -> tuple[np.ndarray, float, float]:
+    """The trigram table of the prose lines of all pages, and the bounds of its lines' scores.
+
+    The driver gets a count for each pair of classes and symbol at most, and for each bin of scores.
+    """
+    cells = _totals(pages, lambda p: np.unique(p.cells[np.repeat(p.prose(), p.lengths)], return_counts=True))
+    counts = np.zeros(SIZE * SIZE * SYMBOLS)
+    counts[[*cells]] = [*cells.values()]
+    table = log_table(counts)
+    shared = pages.sparkSession.sparkContext.broadcast(table)
+
+    def bins(p: Pages):
+        own = p.scores(shared.value)[1][p.prose() & (p.lengths >= WINDOW)]
+        return np.unique(np.floor(own / BIN).astype(np.int64), return_counts=True)
+
+    return (table, *bounds(_totals(pages, bins)))
+
+
+def spam_scores(documents: DataFrame) -> DataFrame:
+    """doc_id, spam_share (part of the symbols in places of abnormal perplexity), perplexity (of the page) and spam.
+
+    Null, empty and blank texts have share 0 and perplexity 1 and are no spam; repeated rows stay repeated; texts are
+    read whole; other columns are ignored. Texts are cut into symbols once; the model and its bounds are counted over all
+    rows, and their size is fixed by the number of classes.
+    """
+    pages = page_symbols(documents)
+    model = documents.sparkSession.sparkContext.broadcast(train(pages))
+    kind = documents.schema["doc_id"].dataType.simpleString()
+
+    def make():
         def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-            found = scorer.shares(strings(batch, "text"))
-            share, items = pa.array([x for x, _ in found], pa.float64()), pa.array([n for _, n in found], pa.int32())
-            spam = pa.array([x >= SPAM_SHARE and n >= LEAST_ITEMS for x, n in found], pa.bool_())
-            return pa.RecordBatch.from_arrays([batch.column(0), share, items, spam], names=["doc_id", "spam_share", "items", "spam"])
+            own = _decoded(batch)
+            share, mean = shares(own, model.value)
+            cols = [pa.array(share), pa.array(np.exp(-mean)), pa.array((share >= SPAM_SHARE) & (own.counts >= LEAST_SYMBOLS))]
+            return pa.RecordBatch.from_arrays([batch.column(0), *cols], names=["doc_id", "spam_share", "perplexity", "spam"])
 
         return run
 
-    return map_rows(documents.select("doc_id", "text"), make, f"doc_id {kind}, spam_share double, items int, spam boolean")
+    return map_rows(pages, make, f"doc_id {kind}, spam_share double, perplexity double, spam boolean")
 
 
-def spam_pages(documents: DataFrame, train_docs: int = TRAIN_DOCS) -> DataFrame:
-    return spam_scores(documents, train_docs).where("spam").select("doc_id").distinct()
+def spam_pages(documents: DataFrame) -> DataFrame:
+    return spam_scores(documents).where("spam").select("doc_id").distinct()
