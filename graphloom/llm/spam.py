@@ -21,20 +21,23 @@ from graphloom.llm.wordclasses import IDS, SIZE, TOKEN, TokenClass
 from graphloom.session import scratch_table
 
 #: Parts of the prose's lines whose perplexity counts as too high and as too low.
-TOO_HIGH, TOO_LOW = 0.008, 0.0005
+TOO_HIGH, TOO_LOW = 0.002, 0.0005
 #: A page is spam if at least this part of its symbols stands in abnormal places, and it has at least so many symbols.
 SPAM_SHARE, LEAST_SYMBOLS = 0.8, 16
 #: A line is scored as a whole if it has so many symbols; a shorter one with as many symbols on both sides.
 WINDOW = 8
 #: A line is prose to the model if it has so many words and at least this part of them are function words.
 PROSE_WORDS, PROSE_SHARE = 4, 0.2
+#: A line of which this part of the words has come again and again isn't what the model learns from.
+STUFFED_SHARE = 0.5
 #: Content words without a function word, sentence end or figure between them that make a run long and very long.
 LONG_RUN, VERY_LONG_RUN = 4, 8
-#: Earlier times that a word has come after the same word, which make it a repeated and a stuffed one.
-REPEATED, STUFFED = 1, 3
+#: Earlier times that a word has come after the same word, and the pair's part of the page's words, which make it repeated,
+#: more repeated and stuffed.
+REPEATED, REPEATED_SHARE = (1, 3, 5), (0, 0.007, 0.015)
 #: A line without links and tags is technical, so neither prose nor spam, if it has at most so many words for each figure, or
 #: for each bracket, figure and sign.
-FIGURE_WORDS, SIGN_WORDS = 4, 2
+FIGURE_WORDS, SIGN_WORDS = 3, 2
 #: Width of a bin of line scores in the histogram that the bounds come from.
 BIN = 0.01
 
@@ -60,8 +63,11 @@ _ENDS_RUN = _GRAMMAR | _kinds("end", "number")
 _FIGURE, _SIGNS, _LINKS = _kinds("number"), _kinds("number", "bracket", "sign"), _kinds("link", "tag")
 LINE, START = IDS["line"], IDS["start"]
 # symbols beyond the classes: repeated function words, repeated letters, and words and letters by repetition and run
-_AGAIN_FUNCTION, _AGAIN_LETTER, _MARKED_WORD, _MARKED_LETTER = SIZE - 1, SIZE + 1, SIZE + 4, SIZE + 13
-SYMBOLS = SIZE + 22
+_AGAIN_FUNCTION, _AGAIN_LETTER, _MARKED_WORD, _MARKED_LETTER = SIZE - 1, SIZE + 2, SIZE + 6, SIZE + 18
+SYMBOLS = SIZE + 30
+_STUFFED = np.zeros(SYMBOLS, dtype=bool)
+for _k in (2, 3):
+    _STUFFED[[_AGAIN_FUNCTION + _k, _AGAIN_LETTER + _k, *(m + 3 * _k + r for m in (_MARKED_WORD, _MARKED_LETTER) for r in range(3))]] = True
 
 
 class Classes(TokenClass):
@@ -111,7 +117,11 @@ def symbols(texts: list[str | None], known: Classes) -> tuple[np.ndarray, np.nda
         first = np.maximum.accumulate(np.where(new, np.arange(len(at)), 0))
         rank = np.empty(len(at), dtype=np.int64)
         rank[order] = np.arange(len(at)) - first
-        again[at] = (rank >= REPEATED).astype(np.int64) + (rank >= STUFFED)
+        size = np.diff(np.concatenate([np.flatnonzero(new), [len(at)]]))
+        part = np.empty(len(at))
+        part[order] = np.repeat(size, size)
+        part /= np.bincount(page[at], minlength=len(texts))[page[at]]
+        again[at] = sum(((rank >= n) & (part >= s)).astype(np.int64) for n, s in zip(REPEATED, REPEATED_SHARE))
     # content words since the last function word, sentence end, figure or page start; three letters count as a word
     total = np.cumsum((_WORD | _OTHER_WORD)[kinds] + _CONTENT_LETTER[kinds] / 3)
     begins = np.concatenate([[True], page[1:] != page[:-1]])
@@ -150,9 +160,9 @@ class Pages:
         return np.add.reduceat(values, self.starts) if len(self.starts) else np.zeros(0)
 
     def prose(self) -> np.ndarray:
-        """Whether each line is prose."""
+        """Whether each line is prose: function words enough, and few words that come again and again."""
         words, grammar = (self.per_line(x[self.kinds].astype(np.int64)) for x in (_TEXT, _GRAMMAR))
-        return (words >= PROSE_WORDS) & (grammar >= PROSE_SHARE * words)
+        return (words >= PROSE_WORDS) & (grammar >= PROSE_SHARE * words) & (self.per_line(_STUFFED[self.marks].astype(np.int64)) < STUFFED_SHARE * words)
 
     def scores(self, table: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The mean log probability of the line or window of each symbol, and of each line: negative logarithms of perplexities."""
