@@ -151,11 +151,25 @@ _ARROW = re.compile(r"\bconst\s+([\w$]+)\s*(?::[^=;]*(?:=>[^=;]*)*)?=\s*(?:async
 _CONST_FUNCTION = re.compile(r"\bconst\s+([\w$]+)\s*(?::[^=;]+)?=\s*(?:async\s+)?function\s*\*?\s*$")
 _FUNCTION = re.compile(r"(?:async\s+)?function\s*\*?\s*([\w$]+)\s*$")
 _METHOD = re.compile(r"(?:(?:@[\w.]+(?:\s*\([^()]*\))?|public|private|protected|static|async|get|set|override|abstract|readonly|\*)\s*)*(#?[\w$]+)\s*$")
-_NAME_BEFORE = re.compile(r"([\w$]+)\s*$")
 _NO_NAMES = set("if for while switch catch with function return new synchronized try do else throw super this assert await yield typeof".split())
 _GO_DEF = re.compile(r"(?m)^func\s+(?:\([^()]*\)\s*)?(\w+)\s*(?:\[[^\]]*\]\s*)?(?=\()")
 
 
+def _trimmed(masked: str, at: int) -> int:
+    """The end of what stands before ``at`` without blanks."""
+    while at and masked[at - 1].isspace():
+        at -= 1
+    return at
+
+
+def _name_start(masked: str, at: int) -> int | None:
+    """The start of the name that ends before ``at``, however long; None if there is none."""
+    end = k = _trimmed(masked, at)
+    while k and (masked[k - 1].isalnum() or masked[k - 1] in "_$"):
+        k -= 1
+    return k if k < end else None
+
+
 def _boundary(masked: str, at: int, marks: str = ";{}") -> int:
     """The start of the declaration that reaches to ``at``: after the last mark, with blanks skipped."""
     k = max(masked.rfind(c, 0, at) for c in marks) + 1
@@ -195,13 +209,14 @@ def _braced(text: str, lang: str) -> list[Pair]:
     if lang == "java":
         for m in _BODY[lang].finditer(masked):
             open_ = pairs.get(m.start())
-            if open_ is None or not (n := _NAME_BEFORE.search(masked, max(0, open_ - 200), open_)) or n[1] in _NO_NAMES:
+            if open_ is None or (at := _name_start(masked, open_)) is None or masked[at : _trimmed(masked, open_)] in _NO_NAMES:
                 continue
-            start = _boundary(masked, n.start(1))
-            head = masked[start : n.start(1)]
+            name = masked[at : _trimmed(masked, open_)]
+            start = _boundary(masked, at)
+            head = masked[start:at]
             if not re.search(r"[=.]\s*$|->|=(?!=)|\b(?:new|return|throw|case|record|else|do)\b", re.sub(r"@[\w.]+(?:\s*\([^()]*\))?", "", head)):
                 params = masked[open_ + 1 : m.start()]
-                add(n[1], n.start(1), start, m.end() - 1, ",".join(p.split()[-1] if p.split() else "" for p in params.split(",")))
+                add(name, at, start, m.end() - 1, ",".join(p.split()[-1] if p.split() else "" for p in params.split(",")))
         return [*out.values()]
     for m in _BODY[lang].finditer(masked):
         open_ = pairs.get(m.start())

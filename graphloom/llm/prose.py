@@ -7,7 +7,6 @@ emits a letter given the two letters before it. Its best path (Viterbi) counts o
 from __future__ import annotations
 
 import re
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -24,8 +23,8 @@ S = len(STATES)
 TRAIN_DOCS, TRAIN_FILES = 6000, 600
 #: Log probability of a change of state, and the part of a file's letters that a language must have.
 SWITCH, LEAST_SHARE = -9.0, 0.05
-#: Files longer than this are segmented in pieces that end with a line.
-PIECE = 4096
+#: Letters whose back pointers are kept at once.
+BLOCK = 8192
 
 # Letters by class: what tells languages and code apart has a class of its own.
 _SINGLE = "abcdefghijklmnopqrstuvwxyz äöüßàâçéèêëîïôùûñáíóúãõìò" + ".,;:'\"-_()[]{}<>=+*/\\|&%$#@!?`~^" + "\n。，、"
@@ -92,8 +91,12 @@ def fit(docs: list[tuple[str, str]], code: list[str]) -> np.ndarray:
     return np.ascontiguousarray(np.stack([_log_table(c) for c in table]).T)
 
 
-def viterbi(table: np.ndarray, pieces: list[np.ndarray]) -> list[np.ndarray]:
-    """The best path of states of each piece (an array of trigram numbers), many pieces side by side."""
+def viterbi(table: np.ndarray, pieces: list[np.ndarray], block: int = BLOCK) -> list[np.ndarray]:
+    """The best path of states of each file (an array of trigram numbers), many files side by side.
+
+    Back pointers are kept for ``block`` letters at a time: a first pass keeps the scores at each block's start, a second
+    one goes over the blocks from the last to the first. So the path is that of the whole file, whatever its length.
+    """
     out: list = [None] * len(pieces)
     order = sorted((k for k in range(len(pieces)) if len(pieces[k])), key=lambda k: len(pieces[k]), reverse=True)
     at = 0
@@ -102,49 +105,45 @@ def viterbi(table: np.ndarray, pieces: list[np.ndarray]) -> list[np.ndarray]:
         at += len(own)
         lengths = np.array([len(pieces[k]) for k in own])
         longest, width = int(lengths[-1]), len(own)
-        first = np.searchsorted(lengths, np.arange(longest), side="right")  # the first piece that is longer than t
+        first = np.searchsorted(lengths, np.arange(longest), side="right")  # the first file that is longer than t
         x = np.zeros((longest, width), dtype=np.int32)
         for j, k in enumerate(own):
             x[: lengths[j], j] = pieces[k]
-        score = np.zeros((width, S), dtype=np.float32)
-        moved = np.zeros((longest, width, S), dtype=bool)
-        source = np.zeros((longest, width), dtype=np.uint8)
         rows = np.arange(width)
-        for t in range(longest):
-            f = first[t]
-            sc = score[f:]
-            best = sc.argmax(1)
-            sc -= sc[rows[: width - f], best][:, None]  # the best is 0, so a change is SWITCH for all
-            np.less(sc, SWITCH, out=moved[t, f:])
-            np.maximum(sc, SWITCH, out=sc)
-            source[t, f:] = best
-            sc += table[x[t, f:]]
+        moved = np.zeros((min(block, longest), width, S), dtype=bool)
+        source = np.zeros((min(block, longest), width), dtype=np.uint8)
+
+        def forward(score: np.ndarray, begin: int, end: int) -> None:
+            for t in range(begin, end):
+                f = first[t]
+                sc = score[f:]
+                best = sc.argmax(1)
+                sc -= sc[rows[: width - f], best][:, None]  # the best is 0, so a change is SWITCH for all
+                np.less(sc, SWITCH, out=moved[t - begin, f:])
+                np.maximum(sc, SWITCH, out=sc)
+                source[t - begin, f:] = best
+                sc += table[x[t, f:]]
+
+        score, starts = np.zeros((width, S), dtype=np.float32), {}
+        for begin in range(0, longest, block):
+            starts[begin] = score.copy()
+            forward(score, begin, min(begin + block, longest))
         state = score.argmax(1)
         path = np.zeros((longest, width), dtype=np.uint8)
-        for t in range(longest - 1, -1, -1):
-            f = first[t]
-            cur = state[f:]
-            path[t, f:] = cur
-            state[f:] = np.where(moved[t, rows[f:], cur], source[t, f:], cur)
+        for begin in sorted(starts, reverse=True):
+            end = min(begin + block, longest)
+            if end < longest:  # the pointers of the last block are still there
+                forward(starts[begin], begin, end)
+            for t in range(end - 1, begin - 1, -1):
+                f = first[t]
+                cur = state[f:]
+                path[t, f:] = cur
+                state[f:] = np.where(moved[t - begin, rows[f:], cur], source[t - begin, f:], cur)
         for j, k in enumerate(own):
             out[k] = path[: lengths[j], j]
     return [np.zeros(0, np.uint8) if x is None else x for x in out]
 
 
-def _cut(c: np.ndarray) -> list[np.ndarray]:
-    """Trigram numbers of a file, in pieces of at most about PIECE letters that end with a line where one ends."""
-    x = trigrams(c)
-    if len(x) <= PIECE:
-        return [x]
-    out, at, ends = [], 0, np.flatnonzero(c == _LINE) + 1
-    while len(x) - at > PIECE:
-        k = np.searchsorted(ends, at + PIECE, side="right") - 1
-        stop = int(ends[k]) if k >= 0 and ends[k] > at else at + PIECE
-        out.append(x[at:stop])
-        at = stop
-    return [*out, x[at:]]
-
-
 class Segmenter:
     def __init__(self, table: np.ndarray):
         self.table = table
@@ -152,12 +151,9 @@ class Segmenter:
     def count(self, files: list[tuple[str, str]]) -> np.ndarray:
         """For each (language, text) the letters of each state inside comments and literals."""
         classes = [letter_classes(t) for _, t in files]
-        pieces = [_cut(c) for c in classes]
-        paths = viterbi(self.table, list(chain.from_iterable(pieces)))
-        out, at = np.zeros((len(files), S), dtype=np.int64), 0
-        for n, ((lang, text), c, own) in enumerate(zip(files, classes, pieces)):
-            path = np.concatenate(paths[at : at + len(own)]) if own else np.zeros(0, np.uint8)
-            at += len(own)
+        paths = viterbi(self.table, [trigrams(c) for c in classes])
+        out = np.zeros((len(files), S), dtype=np.int64)
+        for n, ((lang, text), c, path) in enumerate(zip(files, classes, paths)):
             step = np.zeros(len(c) + 1, dtype=np.int32)
             ends = np.array([m.span() for m in SPANS[lang].finditer(text) if m.lastindex], dtype=np.int64).reshape(-1, 2)
             np.add.at(step, ends[:, 0], 1)

@@ -12,17 +12,16 @@ import binascii
 import math
 import re
 from bisect import bisect_right
-from collections import Counter
 from functools import lru_cache
 from typing import NamedTuple
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, functions as F
 
-from graphloom.llm.arrow import bounded_sample, map_rows, strings
+from graphloom.llm.arrow import map_rows, strings
 
-#: The dictionary is fitted on at most so many documents and files, chosen by the hashes of their ids; it keeps at most DICTIONARY words.
-TRAIN_DOCS, TRAIN_FILES, DICTIONARY = 2000, 500, 30_000
+#: Words that the dictionary keeps at most; they are counted over all documents and files.
+DICTIONARY = 30_000
 #: Letters and digits of a value that dictionary words must leave unexplained.
 RESIDUAL = {"password": 2, "token": 8, "api_key": 8, "private_key": 60}
 LEAST_LENGTH = {"password": 5, "token": 12, "api_key": 12, "private_key": 60}
@@ -40,7 +39,6 @@ FILLERS = set("your my the a an here change me changeme changeit replace insert
 _REFERENCE = re.compile(r"^REDACTED_|\$\{|\$\(|^\$\w|\{\{|%\(\w+\)|%\w+%|<[^<>]*>|^(?:vault|env|ssm|sm|kms|secretsmanager|file|op|keyring|aws|gcp|azure|arn|ref|config)[:/]|process\.env|os\.environ|getenv|^@|#\{|\{\w*\}", re.I)
 _DIGEST = re.compile(r"(?:sha-?\d+|md5|blake\w*|crc\d*|etag|digest)[:\-=_]|data:|\$2[aby]\$|\$argon2|\{SSHA", re.I)
 _SAME = re.compile(r"(.)\1*|(?:x|X|\*|\.|-|_|0|#|•)+|(?:0123456789|1234567890|abcdef|123456789?)\w*", re.S)
-_IDENTIFIER = re.compile(r"[A-Z]{2,}(?:_[A-Z]{2,})+|[a-z]{2,}(?:_[a-z]{2,})+")
 _LOOKUP = re.compile(r"(?i)(?:environ(?:\.get)?|getenv|getproperty|\benv(?:\.get)?|get_?secret|lookup_?env)\s*[\[(]\s*$")
 _TOKEN_FORMAT = re.compile(r"eyJ[\w-]+\.[\w-]+|gh[a-z]_|gl[a-z]-|xox[a-z]-|xq[a-z]{2}-")
 _WORD = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|[0-9]+")
@@ -123,10 +121,12 @@ class Secret(NamedTuple):
 
 _LINE = re.compile(r"[^\n]*")
 _QUOTED = re.compile(r"\"([^\"\\\n]*(?:\\.[^\"\\\n]*)*)\"|'([^'\\\n]*(?:\\.[^'\\\n]*)*)'|`([^`\n]*)`")
-_HINT = re.compile(r"(?i)pass|pwd|pw[\s\d_\"'=:]|token|secret|key|bearer|auth|cred|jwt|-----begin|ls0tl|://[^\s/@\"']*:[^\s/@\"']+@|curl|login|\bpat\b|eyJ|value:")
+#: A superset of what names and forms below accept, so that lines without it needn't be looked at.
+_HINT = re.compile("(?i)" + "|".join([*sorted(w for w in PASSWORD_WORDS | TOKEN_WORDS | KEY_WORDS if w not in ("pw", "pat")), "pass", "phrase", r"(?<![a-z])(?:pw|pat)(?![a-z])", "key", "auth", "cred", "-----begin", "ls0tl", r"://[^\s/@\"']*:[^\s/@\"']+@", "curl", "--user", r"\s-u\s", "basic", "login", "eyJ", "value:"]))
 _PEM = re.compile(r"-----BEGIN (?:[A-Z0-9]+ )*PRIVATE KEY(?: BLOCK)?-----")
-_PEM_END = re.compile(r"-----END [A-Z0-9 ]*PRIVATE KEY(?: BLOCK)?-----")
-_MATERIAL = re.compile(r"[A-Za-z0-9+/=]{24,}")
+_PEM_STOP = re.compile(r"-----(END|BEGIN) [A-Z0-9 ]*KEY(?: BLOCK)?-----")
+_MATERIAL = re.compile(r"(?<!\\)[A-Za-z0-9+/=]{24,}|(?<=[\n\"'])[A-Za-z0-9+/]{2,23}={0,2}(?=\\n|[\r\n\"'])|(?<=\\n)[A-Za-z0-9+/]{2,23}={0,2}(?=\\n|[\r\n\"']|$)")
+_MATERIAL_LINE = re.compile(r"(?:[A-Za-z0-9+/=]{2,}(?:\\n)?)+|[A-Za-z\-]+: .*")
 _URL = re.compile(r"[a-zA-Z][\w+.\-]*://([^\s:/@\"'`<>]*):([^\s/@\"'`<>]+(?:@(?=[^\s\"'`]*@)[^\s/@\"'`<>]*)*)@")
 _BEARER = re.compile(r"(?i)\b(bearer|basic|token)\s+([A-Za-z0-9_\-.~+/]{8,}=*)")
 _CURL = re.compile(r"(?:\s-u|--user)[ =]+['\"]?[^\s:'\"]+:([^\s'\"]+)")
@@ -141,11 +141,21 @@ _ENV_ARG = re.compile(r"^\s*[:,=]\s*$|^\s*\)?\s*(?:=|:=|=>|:|\|\||\?\?|,)\s*(?:n
 class Finder:
     def __init__(self, words: dict[str, float]):
         self.words = Segmenter(words)
+        self.category = lru_cache(maxsize=100_000)(self._category)
+
+    def _category(self, name: str) -> str | None:
+        """The category that a name announces; a name run together is segmented into words first."""
+        known = category_of(name)
+        last = (_WORD.findall(name) or [""])[-1].lower()
+        if known or last in NOT_ITSELF or not last.isalpha() or last in self.words.words or len(last) < 6:
+            return known
+        words, left = self.words.best(last)
+        return None if left or min(map(len, words)) < 3 else category_of("_".join(reversed(words)))
 
     def secret(self, value: str, category: str) -> bool:
         """Whether a value under a name of the category is a credential in use."""
         v = value.strip()
-        if len(v) < LEAST_LENGTH[category] or any(c.isspace() for c in v) or _REFERENCE.search(v) or _DIGEST.match(v) or _SAME.fullmatch(v) or _IDENTIFIER.fullmatch(v):
+        if len(v) < LEAST_LENGTH[category] or any(c.isspace() for c in v) or _REFERENCE.search(v) or _DIGEST.match(v) or _SAME.fullmatch(v):
             return False
         if category == "private_key":
             return bool(re.fullmatch(r"[A-Za-z0-9+/=\\n\s]{60,}", v))
@@ -156,9 +166,6 @@ class Finder:
             return False
         if words and words <= FILLERS and left < 4 + 2 * (category != "password"):
             return False
-        # a path or dotted name of words is an identifier, not a password
-        if category == "password" and left < 4 and re.fullmatch(r"[a-z]+(?:[./][a-z_\d]+)+", v):
-            return False
         return left + sum(not c.isalnum() and c not in "-_./: " for c in v) >= RESIDUAL[category]
 
     def find(self, text: str) -> list[Secret]:
@@ -195,20 +202,20 @@ class Finder:
                 if self.secret(c[1], "password"):
                     add(n, "password", (at + c.start(1), at + c.end(1)))
             for c in _FLAG.finditer(line):
-                if (k := category_of(c[1].replace("-", "_"))) and self.secret(c[2], k):
+                if (k := self.category(c[1].replace("-", "_"))) and self.secret(c[2], k):
                     add(n, k, (at + c.start(2), at + c.end(2)))
             self._quoted(lines, starts, n, add)
             for m in _LOOSE.finditer(line):
-                k = category_of(m[1])
+                k = self.category(m[1])
                 if m[1] == "value" and n and (named := _K8S_NAME.match(lines[n - 1])):
-                    k = category_of(named[1])
+                    k = self.category(named[1])
                 value = m[2].rstrip(".")
                 if k and k != "private_key" and self.secret(value, k) and not re.search(r"\w\.\w+$|^\w+\.\w+\.|\[", value if k != "password" and not value.startswith("eyJ") else ""):
                     add(n, k, (at + m.start(2), at + m.start(2) + len(value)))
                 elif k == "private_key" and self.secret(value, k):
                     add(n, k, (at + m.start(2), at + m.start(2) + len(value)))
             for m in _SAID.finditer(line):
-                k = category_of(m[1].strip().replace(" ", "_"))
+                k = self.category(m[1].strip().replace(" ", "_"))
                 value = m[2].rstrip(".")
                 if k and self.secret(value, k) and any(c.isdigit() for c in value) and not re.search(r"[=(\[{]", value):
                     add(n, k, (at + m.start(2), at + m.start(2) + len(value)))
@@ -229,15 +236,20 @@ class Finder:
                     plain = base64.b64decode(v[0] + "=" * (-len(v[0]) % 4))
                 except (binascii.Error, ValueError):
                     continue
-                if b"PRIVATE KEY" in plain[:80]:
+                if b"PRIVATE KEY" in plain:
                     add(n, "private_key", (starts[n] + v.start(), starts[n] + v.end()))
             return n - 1
         a = starts[n] + m.end()
-        end = _PEM_END.search(text, a)
-        stop = end.start() if end and end.start() - a < 20_000 else min(len(text), a + 4000)
-        if "-----BEGIN" in text[a:stop]:
-            stop = a + text[a:stop].index("-----BEGIN")
-        parts = [(a + x.start(), a + x.end()) for x in _MATERIAL.finditer(text, a, stop) for a in (0,)]
+        # the material ends at END or at the next BEGIN; without them at the first line that holds neither material nor a header
+        end = _PEM_STOP.search(text, a)
+        stop = end.start() if end else len(text)
+        if not end or end[1] == "BEGIN":
+            for k in range(n + 1, bisect_right(starts, stop)):
+                x = lines[k].strip(" \t\r\"'`+,;\\#*/|")
+                if x and not _MATERIAL_LINE.fullmatch(x):
+                    stop = min(stop, starts[k])
+                    break
+        parts = [(x.start(), x.end()) for x in _MATERIAL.finditer(text, a, stop)]
         if sum(b - a for a, b in parts) < 40:
             return n - 1
         add(n, "private_key", *parts)
@@ -272,7 +284,7 @@ class Finder:
                 # a call's or an assignment's last name; separators end what came before
                 for x in reversed(re.split(r"[,;{]", gap)):
                     if own := [y for y in _NAME.findall(x) if y in names]:
-                        name = own[-1] if category_of(own[-1]) or len(own) == 1 else own[-2] if category_of(own[-2]) else own[-1]
+                        name = own[-1] if self.category(own[-1]) or len(own) == 1 else own[-2] if self.category(own[-2]) else own[-1]
                         break
                 if n and _K8S_VALUE.match(line) and (k := _K8S_NAME.match(lines[n - 1])):
                     name = k[1]
@@ -281,7 +293,7 @@ class Finder:
                 continue  # a key itself
             if _LOOKUP.search(gap):
                 continue  # the name of a variable
-            category = category_of(name)
+            category = self.category(name)
             spans = [(at + q.start(g), at + q.end(g))]
             if category and re.match(r"\s*(?:\+\s*)?(?:\\\s*)?\r?$", after):
                 more, parts = self._rest(lines, starts, n)
@@ -317,7 +329,7 @@ class Finder:
         if _QUOTED.search(head) and not re.search(r"[\"']\s*:\s*\(?\s*$", head):
             return
         names = [x for x in _NAME.findall(head.split("#")[0]) if not re.fullmatch(r"string|String|const|let|var|export|final|static|private|public", x)]
-        category = next((c for x in reversed(names[-3:]) if (c := category_of(x))), None)
+        category = next((c for x in reversed(names[-3:]) if (c := self.category(x))), None)
         if not category:
             return
         if m := re.match(r"\s*(?:\"([^\"\\]*)\"|'([^'\\]*)')", lines[k]):
@@ -350,26 +362,23 @@ def redact(text: str, secrets: list[Secret]) -> str:
     return "".join(out) + text[at:]
 
 
-def train(documents: DataFrame, files: DataFrame, train_docs: int = TRAIN_DOCS, train_files: int = TRAIN_FILES) -> dict[str, float]:
-    """Words and their log probabilities from bounded samples of documents and files, which follow from the ids alone.
-    Of files only comments and long literals of words count, as values of their own might be credentials."""
-    count: Counter = Counter()
-    least = bounded_sample(documents, "doc_id", train_docs).where("length(text) > 0")
-    for (t,) in least.select("text").toLocalIterator():
-        count.update(w.lower() for w in re.findall(r"[^\W\d_]{3,}", t) if w.isascii())
-    some = bounded_sample(files, "file_id", train_files).where("length(content) > 0")
-    for (t,) in some.select("content").toLocalIterator():
-        for name in re.findall(r"(?<![\w/+=\-.$!@])[a-z]+(?:_[a-z]+)*(?![\w/+=\-.$!@])", t):
-            count.update(w for w in name.split("_") if len(w) > 2)
-    words = {w: n for w, n in count.most_common(DICTIONARY) if n > 2}
+def train(documents: DataFrame, files: DataFrame) -> dict[str, float]:
+    """Words and their log probabilities, counted over all documents and files; the driver gets the DICTIONARY most frequent.
+    Of files only lower-case names count, as values of their own might be credentials."""
+    word = F.explode(F.regexp_extract_all(F.lower("text"), F.lit(r"([a-z]{3,})"))).alias("word")
+    name = F.explode(F.regexp_extract_all("content", F.lit(r"(?<![\w/+=\-.$!@])([a-z]+(?:_[a-z]+)*)(?![\w/+=\-.$!@])"), F.lit(1)))
+    part = files.select(name.alias("name")).groupBy("name").agg(F.count("*").alias("n")).select(F.explode(F.split("name", "_")).alias("word"), "n")
+    every = documents.select(word).groupBy("word").agg(F.count("*").alias("n")).unionByName(part.where("length(word) > 1"))
+    top = every.groupBy("word").agg(F.sum("n").alias("n")).where("n > 2").orderBy(F.desc("n"), "word").limit(DICTIONARY)
+    words = {w: n for w, n in top.collect()}
     words |= {w: max(words.get(w, 0), 20) for w in FILLERS | PASSWORD_WORDS | TOKEN_WORDS | NOT_ITSELF | KEY_PAIRS if len(w) > 1}
     total = sum(words.values())
-    # the score of a word grows with its length, or letters outside would beat rare words
-    return {w: max(math.log(n / total), -14.0) for w, n in words.items() if len(w) > 2 or w in FILLERS}
+    # letters outside must not beat a rare word
+    return {w: max(math.log(n / total), -14.0, 0.98 * Segmenter.OUTSIDE * len(w)) for w, n in words.items()}
 
 
-def _scan(files: DataFrame, documents: DataFrame, columns: list[str], rows_of, schema: str, fields, **kw) -> DataFrame:
-    shared = files.sparkSession.sparkContext.broadcast(train(documents, files, **kw))
+def _scan(files: DataFrame, documents: DataFrame, columns: list[str], rows_of, schema: str, fields) -> DataFrame:
+    shared = files.sparkSession.sparkContext.broadcast(train(documents, files))
 
     def make():
         finder = Finder(shared.value)
@@ -386,7 +395,7 @@ def _scan(files: DataFrame, documents: DataFrame, columns: list[str], rows_of, s
     return map_rows(files.select(*columns), make, schema)
 
 
-def credentials(files: DataFrame, documents: DataFrame, **kw) -> DataFrame:
+def credentials(files: DataFrame, documents: DataFrame) -> DataFrame:
     """file_path, line_number and category of each credential, once.
 
     Null and empty contents have none; any file with content is searched, whatever its language; a null path stays null;
@@ -395,10 +404,10 @@ def credentials(files: DataFrame, documents: DataFrame, **kw) -> DataFrame:
     """
     fields = [("file_path", pa.string()), ("line_number", pa.int32()), ("category", pa.string())]
     rows = lambda v, f: [(v[0], s.line, s.category) for s in f.find(v[1])] if v[1] else []
-    return _scan(files, documents, ["file_path", "content"], rows, "file_path string, line_number int, category string", fields, **kw).distinct()
+    return _scan(files, documents, ["file_path", "content"], rows, "file_path string, line_number int, category string", fields).distinct()
 
 
-def redacted(files: DataFrame, documents: DataFrame, **kw) -> DataFrame:
+def redacted(files: DataFrame, documents: DataFrame) -> DataFrame:
     """file_path, credentials (their number) and content with the credentials replaced, for every file row; null stays null."""
     fields = [("file_path", pa.string()), ("credentials", pa.int32()), ("content", pa.string())]
 
@@ -406,4 +415,4 @@ def redacted(files: DataFrame, documents: DataFrame, **kw) -> DataFrame:
         s = f.find(v[1]) if v[1] else []
         return [(v[0], len(s), redact(v[1], s) if s else v[1])]
 
-    return _scan(files, documents, ["file_path", "content"], rows, "file_path string, credentials int, content string", fields, **kw)
+    return _scan(files, documents, ["file_path", "content"], rows, "file_path string, credentials int, content string", fields)

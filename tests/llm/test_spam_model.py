@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+import random
+
 import numpy as np
 
 from graphloom.llm import spam
 from graphloom.llm.wordclasses import SIZE
 
-PROSE = "\n".join(f"The {a} {b} the {c} when it is {d}, and this is what we have seen in a run of {k} files." for k, (a, b, c, d) in enumerate(zip("parser cache reader writer table queue".split() * 20, "reads drops finds keeps".split() * 30, "file index node".split() * 40, "empty old late".split() * 40)))
+RND = random.Random(3)
+_SYLLABLES = "ba ke li mo nu pra sti vo der gan tel ri".split()
+_NOUNS = ["".join(RND.choice(_SYLLABLES) for _ in range(3)) for _ in range(300)]
+PROSE = "\n".join(f"The {RND.choice(_NOUNS)} {RND.choice(_NOUNS)} the {RND.choice(_NOUNS)} when it is {RND.choice(_NOUNS)}, and this is {RND.choice(['what', 'why', 'how'])} we have {RND.choice(_NOUNS)} in a {RND.choice(_NOUNS)} of {RND.choice(_NOUNS)}." for _ in range(120))
 KEYS = ", ".join(["best free online parser download", "cheap code viewer price", "free graph tool"] * 30)
 
 
