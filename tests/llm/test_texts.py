@@ -319,6 +319,8 @@ def test_names_of_words_are_no_credentials():
 
 
 def test_viterbi_of_long_files_is_that_of_the_whole_file():
+    import numpy as np
+
     rng = np.random.default_rng(8)
     table = rng.normal(size=(40, prose.S)).astype(np.float32) * 8
     files = [rng.integers(0, 40, size=n).astype(np.int32) for n in (3000, 0, 1, 17, 2999, 900, 64, 65)]
