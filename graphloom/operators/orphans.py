@@ -1,30 +1,27 @@
 """References to records that do not exist (problem 1).
 
-A Bloom filter of all parent keys, of bounded size, proves most orphans at once; only the
-references that it lets through are verified by an exact join with the parents' lifetimes.
+A Bloom filter of all parent keys, sized from their number, proves most orphans at once; only the references that it
+lets through are verified by an exact join with the parents' lifetimes.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from graphloom.session import scratch_table
 
-#: Bits of the filter, a power of two: 2^25 bits are 4 MiB, whatever the number of parents.
-#: With more parents than BLOOM_BITS / 8 more orphans pass the filter; the exact join still finds them.
-BLOOM_BITS = 1 << 25
-BLOOM_HASHES = 4
+#: Bits of the filter for each parent, and the bits that a key sets: under 1 % of the missing keys pass, however many parents there are.
+BITS_A_KEY, BLOOM_HASHES = 12, 4
+#: The filter is broadcast up to this size; a larger one is joined by its blocks, where the references of each block lie.
+BROADCAST_BYTES = 256 << 20
 #: A key counts as hot if it holds at least this share of all references; so at most 1 / HOT_SHARE keys can be hot.
 HOT_SHARE = 0.002
 #: Parts into which the references of a hot key are spread.
 SALTS = 32
 #: Parents with more distinct lifetimes than this aren't put into one array but counted along time slices.
 MAX_LIFETIMES = 64
-_BUCKET = 32768  # bits of one bitmap of bitmap_construct_agg
+_BLOCK = 32768  # bits of a block; all bits of a key lie in one
+_WORDS = _BLOCK // 64
 
 
 def clean_id(c: Column) -> Column:
@@ -33,67 +30,62 @@ def clean_id(c: Column) -> Column:
     return F.when(F.length(x) > 0, x)
 
 
-def _hashes(*key: Column) -> tuple[Column, Column]:
-    # 31 bits each, so that sums of their multiples stay within a long
-    return F.xxhash64(*key).bitwiseAND((1 << 31) - 1), F.xxhash64(*key, F.lit(7)).bitwiseAND((1 << 31) - 1)
-
+def _places(blocks: int, hashes: int, *key: Column) -> tuple[Column, list[Column]]:
+    """The block of a key and its bits there."""
+    h = F.xxhash64(*key, F.lit(7))
+    a, b = h.bitwiseAND(_BLOCK - 1), F.shiftright(h, 15).bitwiseAND(_BLOCK - 1).bitwiseOR(F.lit(1))
+    return F.pmod(F.xxhash64(*key), F.lit(blocks)), [(a + F.lit(i) * b).bitwiseAND(_BLOCK - 1) for i in range(hashes)]
 
-def bloom_bits(keys: DataFrame, cols: list[str], bits: int = BLOOM_BITS, hashes: int = BLOOM_HASHES) -> np.ndarray:
-    """The filter as an array of bytes. Executors combine bitmaps map-side; the driver gets at most bits / 8 bytes."""
-    a, b = _hashes(*cols)
-    pos = F.explode(F.array(*[F.pmod(F.col("_a") + F.lit(i) * F.col("_b"), F.lit(bits)) for i in range(hashes)]))
-    rows = (
-        keys.select(a.alias("_a"), b.alias("_b")).select(pos.alias("_p"))
-        .groupBy(F.floor(F.col("_p") / _BUCKET).alias("bucket"))
-        .agg(F.bitmap_construct_agg(F.pmod("_p", F.lit(_BUCKET))).alias("bitmap"))
-    )
-    out = np.zeros(bits // 8, dtype=np.uint8)
-    for bucket, bitmap in rows.toLocalIterator():
-        out[bucket * (_BUCKET // 8) : (bucket + 1) * (_BUCKET // 8)] = np.frombuffer(bitmap, dtype=np.uint8)
-    return out
 
+def bloom_filter(keys: DataFrame, cols: list[str], blocks: int, hashes: int = BLOOM_HASHES) -> DataFrame:
+    """The filter as a table: _block and _words (its bits in longs). Executors combine bits before they are shuffled."""
+    block, bits = _places(blocks, hashes, *cols)
+    p = F.col("_p")
+    set_ = keys.select(block.alias("_block"), F.explode(F.array(*bits)).alias("_p")).select("_block", F.shiftright(p, 6).alias("_word"), F.expr("shiftleft(1L, CAST(_p & 63 AS INT))").alias("_bits"))
+    every = keys.sparkSession.range(blocks * _WORDS).select(F.floor(F.col("id") / _WORDS).alias("_block"), F.pmod("id", F.lit(_WORDS)).alias("_word"), F.lit(0).cast("long").alias("_bits"))
+    words = set_.unionByName(every).groupBy("_block", "_word").agg(F.bit_or("_bits").alias("_bits"))
+    return words.groupBy("_block").agg(F.array_sort(F.collect_list(F.struct("_word", "_bits"))).alias("_words")).select("_block", F.col("_words._bits").alias("_words"))
 
-def might_contain(df: DataFrame, cols: list[str], bits: np.ndarray, hashes: int = BLOOM_HASHES) -> Column:
-    """A Boolean column: False proves that the key is no parent. Only two longs a row go to Python."""
-    shared, mask = df.sparkSession.sparkContext.broadcast(bits), np.int64(len(bits) * 8 - 1)
 
-    @F.pandas_udf("boolean")
-    def probe(it: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-        table = shared.value
-        for a, b in it:
-            x, y = a.to_numpy(dtype=np.int64), b.to_numpy(dtype=np.int64)
-            hit = np.ones(len(x), dtype=bool)
-            for i in range(hashes):
-                p = (x + np.int64(i) * y) & mask
-                hit &= (table[p >> 3] >> (p & 7).astype(np.uint8)) & 1 == 1
-            yield pd.Series(hit)
+def might_contain(df: DataFrame, cols: list[str], keys: DataFrame, blocks: int, hashes: int = BLOOM_HASHES) -> DataFrame:
+    """``df`` with _may, which is False where the filter of ``keys`` proves that the key isn't among them.
 
-    return probe(*_hashes(*cols))
+    The probe is a join with the filter's blocks: broadcast if they are small enough, which their number tells.
+    """
+    block, bits = _places(blocks, hashes, *cols)
+    table = bloom_filter(keys, cols, blocks, hashes)
+    hit = None
+    for b in bits:
+        one = F.call_function("getbit", F.get("_words", F.shiftright(b, 6)), b.bitwiseAND(63).cast("int")) == 1
+        hit = one if hit is None else hit & one
+    near = F.broadcast(table) if blocks * _BLOCK // 8 <= BROADCAST_BYTES else table
+    return df.withColumn("_block", block).join(near, "_block", "left").withColumn("_may", hit).drop("_block", "_words")
 
 
-def _counted(refs: DataFrame, parents: DataFrame) -> DataFrame:
-    """The status of references to keys with very many lifetimes, by running counts along (key, month) slices.
+def _counted(refs: DataFrame, parents: DataFrame, salted) -> DataFrame:
+    """The status of references to keys with very many lifetimes, by running counts along (key, salt, month) slices.
 
     No list is built: a parent lives at t if more lifetimes began than ended until then. Each slice is one window
-    group and gets the counts of the slices before it.
+    group and gets the counts of the slices before it. Hot keys keep their salts, to each of which their lifetimes are
+    copied by ``salted``.
     """
-    cols = refs.columns
+    cols = [c for c in refs.columns if c != "_salt"]
     begins = parents.where("begin IS NOT NULL").select("scope", "key", F.col("begin").alias("t"), F.lit(1).alias("_born"), F.lit(1).alias("_live"))
     ends = parents.where("begin IS NOT NULL AND end IS NOT NULL").select("scope", "key", F.greatest("begin", "end").alias("t"), F.lit(0).alias("_born"), F.lit(-1).alias("_live"))
-    marks = begins.unionByName(ends).withColumn("_slice", F.date_trunc("month", "t"))
+    marks = salted(begins.unionByName(ends)).withColumn("_slice", F.date_trunc("month", "t"))
     both = refs.withColumn("_ref", F.lit(True)).withColumn("_slice", F.date_trunc("month", "t")).unionByName(marks, allowMissingColumns=True)
-    sums = both.groupBy("scope", "key", "_slice").agg(F.sum("_born").alias("_born0"), F.sum("_live").alias("_live0"))
-    before = W.partitionBy("scope", "key").orderBy("_slice").rowsBetween(W.unboundedPreceding, -1)  # one row a month
-    carry = sums.select("scope", "key", "_slice", *[F.coalesce(F.sum(c).over(before), F.lit(0)).alias(c) for c in ("_born0", "_live0")])
+    sums = both.groupBy("scope", "key", "_salt", "_slice").agg(F.sum("_born").alias("_born0"), F.sum("_live").alias("_live0"))
+    before = W.partitionBy("scope", "key", "_salt").orderBy("_slice").rowsBetween(W.unboundedPreceding, -1)  # one row a month
+    carry = sums.select("scope", "key", "_salt", "_slice", *[F.coalesce(F.sum(c).over(before), F.lit(0)).alias(c) for c in ("_born0", "_live0")])
     # at equal times lifetimes begin and end before a reference looks
-    order = W.partitionBy("scope", "key", "_slice").orderBy("t", F.col("_ref").asc_nulls_first()).rowsBetween(W.unboundedPreceding, 0)
+    order = W.partitionBy("scope", "key", "_salt", "_slice").orderBy("t", F.col("_ref").asc_nulls_first()).rowsBetween(W.unboundedPreceding, 0)
     run = both.select("*", *[F.coalesce(F.sum(c).over(order), F.lit(0)).alias(f"{c}_run") for c in ("_born", "_live")])
-    known = run.where("_ref").join(carry.withColumnsRenamed({"scope": "_s", "key": "_k", "_slice": "_m"}), (F.col("scope") == F.col("_s")) & (F.col("key") == F.col("_k")) & (F.col("_slice") == F.col("_m")))
+    known = run.where("_ref").join(carry, ["scope", "key", "_salt", "_slice"])
     reason = F.when(F.col("_live0") + F.col("_live_run") > 0, None).when(F.col("_born0") + F.col("_born_run") > 0, "deleted").otherwise("late")
     return known.withColumn("reason", reason).where("reason IS NOT NULL").select(*cols, "reason")
 
 
-def find_orphans(refs: DataFrame, parents: DataFrame, max_lifetimes: int = MAX_LIFETIMES, hot_share: float = HOT_SHARE, bits: int = BLOOM_BITS) -> DataFrame:
+def find_orphans(refs: DataFrame, parents: DataFrame, max_lifetimes: int = MAX_LIFETIMES, hot_share: float = HOT_SHARE, blocks: int | None = None) -> DataFrame:
     """One row for each distinct reference without a parent alive at its time.
 
     refs has scope (string), key (a cleaned id), t (timestamp) and any further columns, which are kept; parents has
@@ -102,39 +94,42 @@ def find_orphans(refs: DataFrame, parents: DataFrame, max_lifetimes: int = MAX_L
     none; a null scope matches no parent, so such a reference is missing; one with a null t comes out only if its key
     is missing; a parent with a null begin exists but never lives. Empty tables give no rows or only ``missing``.
 
-    Skew: the join with the parents shuffles on the key; keys that hold more than ``hot_share`` of the references (at
-    most 1 / hot_share keys, so their list is broadcast) are spread over SALTS salts. Column names that begin with an
-    underscore are taken. Parents with more than ``max_lifetimes``
-    lifetimes are counted along time slices, so no list grows without bound.
+    The parents' lifetimes are written once; their number sizes the filter (``blocks`` overrides it). References are
+    probed once: those that the filter proves to be orphans carry a salt that no parent has, so the join that verifies
+    the others leaves them alone. Skew: keys that hold more than ``hot_share`` of the references (at most 1 / hot_share
+    keys, so their list is broadcast) are spread over SALTS salts. Parents with more than ``max_lifetimes`` lifetimes
+    are counted along time slices, so no list grows without bound. Column names that begin with an underscore are taken.
     """
     cols, on = refs.columns, ["scope", "key"]
     refs = refs.where("key IS NOT NULL")
-    parents = parents.where("key IS NOT NULL AND scope IS NOT NULL").select("scope", "key", "begin", "end").distinct()
-    table = bloom_bits(parents, on, bits)
-    total = refs.groupBy(*on).agg(F.count("*").alias("_n"))
-    # written once: a few hundred keys at most, which two joins below use
-    hot = scratch_table(total.where(F.col("_n") > F.lit(hot_share) * total.agg(F.sum("_n").alias("n")).scalar()).select(*on, F.lit(True).alias("_hot")), "hot")
-    probed = refs.withColumn("_may", might_contain(refs, on, table) & F.col("scope").isNotNull())
-    orphans = probed.where("NOT _may OR scope IS NULL").select(*cols, F.lit("missing").alias("reason"))
-    passed = probed.where("_may").drop("_may").join(F.broadcast(hot), on, "left")
+    parents = scratch_table(parents.where("key IS NOT NULL AND scope IS NOT NULL").select("scope", "key", "begin", "end").distinct(), "parents")
+    blocks = blocks or max(1, -(-parents.count() * BITS_A_KEY // _BLOCK))
+    total = refs.groupBy(F.xxhash64(*on).alias("_h")).agg(F.count("*").alias("_n"))
+    # a few hundred keys at most, written once
+    hot = scratch_table(total.where(F.col("_n") > F.lit(hot_share) * total.agg(F.sum("_n").alias("n")).scalar()).select("_h", F.lit(True).alias("_hot")), "hot")
+    marked = lambda df: df.withColumn("_h", F.xxhash64(*on)).join(F.broadcast(hot), "_h", "left").drop("_h")
+    salts = F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
+    salted = lambda df: marked(df).withColumn("_salt", F.explode(salts)).drop("_hot")
+    proven = ~F.col("_may") | F.col("scope").isNull()
+    salt = F.when(proven, -1).when(F.col("_hot"), F.pmod(F.xxhash64(*cols), F.lit(SALTS))).otherwise(0).cast("int")
+    probed = marked(might_contain(refs, on, parents, blocks)).withColumn("_salt", salt).select(*cols, "_salt")
 
     counts = parents.groupBy(*on).agg(F.count("*").alias("_n"))
-    few = parents.join(counts.where(F.col("_n") <= max_lifetimes), on, "left_semi")
-    lives = few.groupBy(*on).agg(F.collect_list(F.struct("begin", "end")).alias("_lives"), F.lit(False).alias("_busy"))
-    busy = counts.where(F.col("_n") > max_lifetimes).select(*on, F.lit(True).alias("_busy"))
-    lives = lives.unionByName(busy, allowMissingColumns=True)
-    # hot keys are spread over salts, their parents copied to each
-    salt = F.when(F.col("_hot"), F.pmod(F.xxhash64(*cols), F.lit(SALTS))).otherwise(0).cast("int")
-    salts = F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
-    spread = lives.join(F.broadcast(hot), on, "left").withColumn("_salt", F.explode(salts)).drop("_hot")
-    known = passed.withColumn("_salt", salt).drop("_hot").join(spread, [*on, "_salt"], "left")
+    busy = counts.where(F.col("_n") > max_lifetimes).select(*on)
+    rare = bool(busy.take(1))  # decided once, on the parents' counts
+    few = parents.join(busy, on, "left_anti") if rare else parents
+    lives = few.groupBy(*on).agg(F.collect_list(F.struct("begin", "end")).alias("_lives"))
+    if rare:
+        lives = lives.unionByName(busy, allowMissingColumns=True)
+    known = probed.join(salted(lives.withColumn("_there", F.lit(True))), [*on, "_salt"], "left")
     began = F.exists("_lives", lambda x: x["begin"] <= F.col("t"))
     alive = F.exists("_lives", lambda x: (x["begin"] <= F.col("t")) & (x["end"].isNull() | (x["end"] > F.col("t"))))
-    reason = F.when(F.col("_busy").isNull(), "missing").when(F.col("t").isNull() | alive, None).when(began, "deleted").otherwise("late")
-    exact = known.where("NOT coalesce(_busy, false)").withColumn("reason", reason).where("reason IS NOT NULL").select(*cols, "reason")
-    result = orphans.unionByName(exact)
-    if busy.take(1):  # rare; decided once, on the parents' counts
-        result = result.unionByName(_counted(known.where("_busy AND t IS NOT NULL").select(*cols), parents.join(busy, on, "left_semi")))
+    counted = F.col("_there").isNotNull() & F.col("_lives").isNull()
+    reason = F.when(F.col("_there").isNull(), "missing").when(F.col("t").isNull() | counted | alive, None).when(began, "deleted").otherwise("late")
+    result = known.withColumn("reason", reason).where("reason IS NOT NULL").select(*cols, "reason")
+    if rare:
+        open_ = known.where(counted & F.col("t").isNotNull()).select(*cols, "_salt")
+        result = result.unionByName(_counted(open_, parents.join(busy, on, "left_semi"), salted))
     return result.distinct()
 
 

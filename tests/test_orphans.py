@@ -24,7 +24,7 @@ def brute(refs, parents):
     return out
 
 
-@pytest.mark.parametrize("kw", [{}, {"max_lifetimes": 1, "hot_share": 0.05}, {"max_lifetimes": 0, "bits": 1 << 15}])
+@pytest.mark.parametrize("kw", [{}, {"max_lifetimes": 1, "hot_share": 0.05}, {"max_lifetimes": 0, "blocks": 3, "hot_share": 0.05}])
 def test_against_brute_force(spark, kw):
     rnd = random.Random(5)
     day = lambda: T0 + timedelta(days=rnd.randrange(200))
@@ -50,3 +50,18 @@ def test_empty_tables(spark):
 def test_clean_id(spark):
     df = spark.createDataFrame([("\t Ab ",), (" \t",), ("",), (None,), ("a b",)], "x string")
     assert [r[0] for r in df.select(orphans.clean_id(df.x)).collect()] == ["ab", None, None, None, "a b"]
+
+
+def test_filter_proves_most_missing_keys(spark):
+    keys = spark.range(200_000).selectExpr("'a' AS scope", "concat('k', id) AS key")
+    other = spark.range(50_000).selectExpr("'a' AS scope", "concat('m', id) AS key")
+    blocks = -(-200_000 * orphans.BITS_A_KEY // 32768)
+    may = lambda df: orphans.might_contain(df, ["scope", "key"], keys, blocks).where("_may").count()
+    assert may(keys) == 200_000 and may(other) < 0.02 * 50_000
+
+
+def test_filter_larger_than_a_broadcast(spark, monkeypatch):
+    monkeypatch.setattr(orphans, "BROADCAST_BYTES", 0)
+    parents = spark.createDataFrame([("a", f"k{k}", T0, None) for k in range(50)], PARENT)
+    refs = spark.createDataFrame([("a", f"k{k}", T0 + timedelta(days=1), f"r{k}", "x") for k in range(45, 60)], REF)
+    assert sorted(r.ref for r in orphans.find_orphans(refs, parents).collect()) == [f"r{k}" for k in range(50, 60)]
