@@ -121,8 +121,10 @@ class Secret(NamedTuple):
 
 _LINE = re.compile(r"[^\n]*")
 _QUOTED = re.compile(r"\"([^\"\\\n]*(?:\\.[^\"\\\n]*)*)\"|'([^'\\\n]*(?:\\.[^'\\\n]*)*)'|`([^`\n]*)`")
-#: A superset of what names and forms below accept, so that lines without it needn't be looked at.
-_HINT = re.compile("(?i)" + "|".join([*sorted(w for w in PASSWORD_WORDS | TOKEN_WORDS | KEY_WORDS if w not in ("pw", "pat")), "pass", "phrase", r"(?<![a-z])(?:pw|pat)(?![a-z])", "key", "auth", "cred", "-----begin", "ls0tl", r"://[^\s/@\"']*:[^\s/@\"']+@", "curl", "--user", r"\s-u\s", "basic", "login", "eyJ", "value:"]))
+#: A superset of what names and forms below accept, in lower case, so that lines without it needn't be looked at.
+_SHORT_HINTS = {"pw": r"pw(?![a-z])", "pat": r"pat(?![a-z])"}
+_WORD_HINTS = (PASSWORD_WORDS | TOKEN_WORDS | KEY_WORDS | set("pass phrase key auth cred -----begin ls0tl curl --user basic login eyj value:".split())) - {*_SHORT_HINTS}
+_HINT = re.compile("|".join([*(re.escape(w) for w in sorted(_WORD_HINTS) if not any(o != w and o in w for o in _WORD_HINTS)), *_SHORT_HINTS.values(), r"://[^\s/@\"']*:[^\s/@\"']+@", r"[ \t]-u[ =]"]))
 _PEM = re.compile(r"-----BEGIN (?:[A-Z0-9]+ )*PRIVATE KEY(?: BLOCK)?-----")
 _PEM_STOP = re.compile(r"-----(END|BEGIN) [A-Z0-9 ]*KEY(?: BLOCK)?-----")
 _MATERIAL = re.compile(r"(?<!\\)[A-Za-z0-9+/=]{24,}|(?<=[\n\"'])[A-Za-z0-9+/]{2,23}={0,2}(?=\\n|[\r\n\"'])|(?<=\\n)[A-Za-z0-9+/]{2,23}={0,2}(?=\\n|[\r\n\"']|$)")
@@ -170,7 +172,8 @@ class Finder:
 
     def find(self, text: str) -> list[Secret]:
         """All credentials of a file; line ends are line feeds."""
-        if not _HINT.search(text):
+        low = text.lower()
+        if not _HINT.search(low):
             return []
         starts = [m.start() for m in re.finditer(r"(?:^|(?<=\n))", text)]
         lines = text.split("\n")
@@ -183,7 +186,9 @@ class Finder:
                 taken.extend(spans)
 
         inside = -1  # lines of key material are done
-        near = {bisect_right(starts, m.start()) - 1 for m in _HINT.finditer(text)}
+        # lower case may change the length of a text, but not its lines
+        begins = starts if len(low) == len(text) else [m.start() for m in re.finditer(r"(?:^|(?<=\n))", low)]
+        near = {bisect_right(begins, m.start()) - 1 for m in _HINT.finditer(low)}
         for n in sorted(near):
             line = lines[n]
             if n <= inside:
