@@ -9,22 +9,29 @@ from graphloom.plans.rank import row_numbers
 from graphloom.schema import GRADE_TYPE, IMPACT_LEVELS, NODE_COEFFICIENT, OTHER_COEFFICIENT, graded, lookup
 
 
+#: Kinds of change.
+CHANGES = ("MODIFY", "DELETE", "RENAME", "ADD", "MOVE")
+
+
 def level(score: Column) -> Column:
     return graded(score, IMPACT_LEVELS, "NONE")
 
 
-def impact(nodes: DataFrame, edges: DataFrame, roots: DataFrame, max_depth: int = 5, upstream: bool = True, downstream: bool = True, edge_types: list[str] | None = None) -> DataFrame:
+def impact(nodes: DataFrame, edges: DataFrame, roots: DataFrame, max_depth: int = 5, upstream: bool = True, downstream: bool = True, edge_types: list[str] | None = None, change: str = "MODIFY") -> DataFrame:
     """Nodes affected by a change of each root: graph_id, root, id, type, score, distance, level, role, strength, path.
 
     Downstream nodes depend on the root (in-neighbours) and count from a score above 0.1; upstream nodes are what it
-    depends on, one level less deep, at 0.7 of the score, from above 0.05. A node reached both ways keeps its greatest
+    depends on, one level less deep (after a DELETE one level is added first, up to 6), at 0.7 of the score, from above
+    0.05. An unknown kind of change is an error. A node reached both ways keeps its greatest
     score and least distance. Unknown types count with the coefficient of others; a null strength is 0.5.
     """
-    parts = []
+    if change not in CHANGES:
+        raise ValueError(f"unknown kind of change: {change}")
+    parts, up = [], max(1, (min(max_depth + 1, 6) if change == "DELETE" else max_depth) - 1)
     if downstream:
         parts.append((reach(steps(edges, "in", edge_types), roots, max_depth), "downstream", 1.0, 0.1))
     if upstream and max_depth >= 1:
-        parts.append((reach(steps(edges, "out", edge_types), roots, max(1, max_depth - 1)), "upstream", 0.7, 0.05))
+        parts.append((reach(steps(edges, "out", edge_types), roots, up), "upstream", 0.7, 0.05))
     kinds = nodes.select("graph_id", "id", "type")
     out = None
     for found, role, factor, least in parts:

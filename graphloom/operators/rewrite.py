@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from graphloom.session import checkpoint
+from graphloom.session import forget, scratch_counted, scratch_table as checkpoint
 
 
 def duplicate_map(nodes: DataFrame) -> DataFrame:
@@ -80,11 +80,12 @@ def similar_seeds(nodes: DataFrame) -> DataFrame:
     return done.select("graph_id", "id", "keep").unionByName(alone.join(done, ["graph_id", "id"], "left_anti"))
 
 
-def linear_chains(edges: DataFrame, rounds: int = 25) -> DataFrame:
+def linear_chains(edges: DataFrame, rounds: int = 62) -> DataFrame:
     """Chains of at least three nodes whose interior has one way in and one way out: graph_id, head, tail, edges (their number).
 
     A head has one way out and isn't the only follower of a node with one way out. Pointer doubling over interior nodes:
-    the rounds grow with the logarithm of the longest chain (2^rounds nodes at most). Pure cycles have no head and stay.
+    the rounds grow with the logarithm of the longest chain. Pure cycles have no head and stay: after 2^rounds nodes, more
+    than any table holds, only they are left.
     """
     on = ["graph_id", "id"]
     e = edges.select("graph_id", "source_id", "target_id").distinct()
@@ -93,12 +94,13 @@ def linear_chains(edges: DataFrame, rounds: int = 25) -> DataFrame:
     inner = ways.join(only, on, "left_semi").select(*on, "next")
     heads = ways.join(inner.join(ways.select("graph_id", F.col("next").alias("id")), on, "left_semi"), on, "left_anti")
     jump = checkpoint(inner.select(*on, F.col("next").alias("far"), F.lit(1).alias("n")))
-    for _ in range(rounds):
+    # a node that still moves after more steps than there are nodes lies on or before a pure cycle
+    for _ in range(min(rounds, jump.count().bit_length() + 1)):
         far = jump.select("graph_id", F.col("id").alias("far"), F.col("far").alias("far2"), F.col("n").alias("n2"))
         new = jump.join(far, ["graph_id", "far"], "left")
         new = checkpoint(new.select(*on, F.coalesce("far2", "far").alias("far"), (F.col("n") + F.coalesce("n2", F.lit(0))).alias("n"), F.col("far2").isNotNull().alias("moved")))
         jump = new.drop("moved")
-        if not new.where("moved").take(1):  # only nodes of pure cycles move for ever, up to the bound
+        if not new.where("moved").take(1):
             break
     chains = heads.select("graph_id", F.col("id").alias("head"), F.col("next").alias("id")).join(jump, on)
     return chains.select("graph_id", "head", F.col("far").alias("tail"), (F.col("n") + 1).alias("edges"))
@@ -135,14 +137,16 @@ def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     label = checkpoint(label)
     while True:
         near = ends.join(label.select("graph_id", F.col("id").alias("b"), "component"), ["graph_id", "b"]).groupBy("graph_id", F.col("a").alias("id")).agg(F.min("component").alias("c"))
-        low = checkpoint(label.join(near, ["graph_id", "id"], "left").select("graph_id", "id", "component", F.least("component", F.coalesce("c", "component")).alias("c")))
-        hook = low.where("c < component").groupBy("graph_id", F.col("component").alias("id")).agg(F.min("c").alias("h"))
-        low = checkpoint(low.join(hook, ["graph_id", "id"], "left").select("graph_id", "id", "component", F.least("c", F.coalesce("h", "c")).alias("c")))
-        short = low.select("graph_id", F.col("id").alias("c"), F.col("c").alias("c2"))
-        new = checkpoint(low.join(short, ["graph_id", "c"], "left").select("graph_id", "id", F.least("c", F.coalesce("c2", "c")).alias("component"), (F.least("c", F.coalesce("c2", "c")) != F.col("component")).alias("changed")))
-        label = new.drop("changed")
-        if not new.where("changed").take(1):
+        low, lower = scratch_counted(label.join(near, ["graph_id", "id"], "left").select("graph_id", "id", "component", F.least("component", F.coalesce("c", "component")).alias("c")), F.col("c") < F.col("component"))
+        if not lower:  # no neighbour has a lower label, so none will fall
+            forget(low)
             return label
+        hook = low.where("c < component").groupBy("graph_id", F.col("component").alias("id")).agg(F.min("c").alias("h"))
+        hooked = checkpoint(low.join(hook, ["graph_id", "id"], "left").select("graph_id", "id", F.least("c", F.coalesce("h", "c")).alias("c")))
+        short = hooked.select("graph_id", F.col("id").alias("c"), F.col("c").alias("c2"))
+        new = checkpoint(hooked.join(short, ["graph_id", "c"], "left").select("graph_id", "id", F.least("c", F.coalesce("c2", "c")).alias("component")))
+        forget(label, low, hooked)
+        label = new
 
 
 def merge_graphs(nodes: list[DataFrame], edges: list[DataFrame], graph_id: str) -> tuple[DataFrame, DataFrame]:

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from graphloom.operators.traverse import cycles
 from graphloom.schema import SECURITY_RULES
-from graphloom.session import checkpoint
+from graphloom.session import scratch_table as checkpoint
 
 LEVELS = ("critical", "high", "medium", "low")
 

@@ -3,11 +3,11 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window as W, functions as F
 
 from graphloom.operators.clean import small
 from graphloom.schema import HOP_WEIGHT, OTHER_HOP, lookup
-from graphloom.session import checkpoint
+from graphloom.session import forget, scratch_counted, scratch_table as checkpoint
 
 KEY = ["graph_id", "root", "id"]
 #: Edges left up to which one task finishes the strong components of a graph.
@@ -15,9 +15,10 @@ WHOLE = 200_000
 
 
 def steps(edges: DataFrame, direction: str = "out", edge_types: list[str] | None = None) -> DataFrame:
-    """graph_id, id, next and the edge's own columns, along, against or both ways of the edges."""
+    """graph_id, id, next and the edge's own columns, along, against or both ways of the edges. A null strength counts 0.5
+    in products (strength) and 1.0 in sums (weight)."""
     e = edges.where(F.col("type").isin(edge_types)) if edge_types else edges
-    e = e.select("graph_id", "source_id", "target_id", F.col("id").alias("edge_id"), "type", F.coalesce("strength", F.lit(0.5)).alias("strength"))
+    e = e.select("graph_id", "source_id", "target_id", F.col("id").alias("edge_id"), "type", F.coalesce("strength", F.lit(0.5)).alias("strength"), F.coalesce("strength", F.lit(1.0)).alias("weight"))
     out = e.withColumnsRenamed({"source_id": "id", "target_id": "next"})
     back = e.withColumnsRenamed({"target_id": "id", "source_id": "next"}).select(out.columns)
     return {"out": out, "in": back}.get(direction, None) if direction != "both" else out.unionByName(back)
@@ -32,42 +33,81 @@ def reach(step: DataFrame, roots: DataFrame, max_depth: int) -> DataFrame:
     """
     hop = step.groupBy("graph_id", "id", "next").agg(F.max(lookup(HOP_WEIGHT, F.col("type"), OTHER_HOP) * F.col("strength")).alias("w")).where("id <> next")
     seen = checkpoint(roots.select("graph_id", "root", F.col("root").alias("id"), F.lit(0).alias("distance"), F.lit(1.0).alias("strength"), F.array("root").alias("path")).distinct())
-    front, parts = seen, [seen]
+    front = seen
     for d in range(1, max_depth + 1):
         best = F.max(F.struct((F.col("strength") * F.col("w")).alias("strength"), F.concat("path", F.array("next")).alias("path")))
         new = hop.join(small(front), ["graph_id", "id"]).groupBy("graph_id", "root", F.col("next").alias("id")).agg(best.alias("b")).select("graph_id", "root", "id", F.lit(d).alias("distance"), "b.strength", "b.path")
-        front = checkpoint(new.join(seen.select(*KEY), KEY, "left_anti"))
-        if not front.take(1):
+        front, n = scratch_counted(new.join(seen.select(*KEY), KEY, "left_anti"), F.lit(True))
+        if not n:
             break
-        parts.append(front)
         seen = seen.unionByName(front)
     return seen
 
 
-def paths(step: DataFrame, roots: DataFrame, targets: DataFrame, max_nodes: int = 5) -> DataFrame:
+def shortest(step: DataFrame, roots: DataFrame, max_nodes: int = 10) -> DataFrame:
+    """Shortest paths of at most max_nodes nodes from each root to every node: graph_id, root, target, length, total_weight
+    (sum of the strengths, null is 1.0) and path, the first in order on ties.
+
+    A root reaches itself in a path of length 0. Of parallel edges the one of least id counts.
+    """
+    hop = step.where("id <> next").groupBy("graph_id", "id", "next").agg(F.min_by("weight", "edge_id").alias("w"))
+    seen = checkpoint(roots.select("graph_id", "root", F.col("root").alias("id"), F.lit(0).alias("length"), F.lit(0.0).alias("weight"), F.array("root").alias("path")).distinct())
+    front = seen
+    for d in range(1, max_nodes):
+        best = F.min(F.struct(F.concat("path", F.array("next")).alias("path"), (F.col("weight") + F.col("w")).alias("weight")))
+        new = hop.join(small(front), ["graph_id", "id"]).groupBy("graph_id", "root", F.col("next").alias("id")).agg(best.alias("b")).select("graph_id", "root", "id", F.lit(d).alias("length"), "b.weight", "b.path")
+        front, n = scratch_counted(new.join(seen.select(*KEY), KEY, "left_anti"), F.lit(True))
+        if not n:
+            break
+        seen = seen.unionByName(front)
+    return seen.select("graph_id", "root", F.col("id").alias("target"), "length", F.round("weight", 9).alias("total_weight"), "path")
+
+
+def hops_to(step: DataFrame, targets: DataFrame, most: int) -> DataFrame:
+    """graph_id, id and the least number of hops (at most ``most``) from there to any target."""
+    seen = checkpoint(targets.select("graph_id", "id").distinct().withColumn("left", F.lit(0)))
+    front = seen
+    for d in range(1, most + 1):
+        new = step.select("graph_id", "id", "next").join(small(front.select("graph_id", F.col("id").alias("next"))), ["graph_id", "next"], "left_semi").select("graph_id", "id").distinct().join(seen, ["graph_id", "id"], "left_anti")
+        front, n = scratch_counted(new.withColumn("left", F.lit(d)), F.lit(True))
+        if not n:
+            break
+        seen = seen.unionByName(front)
+    return checkpoint(seen)
+
+
+def paths(step: DataFrame, roots: DataFrame, targets: DataFrame, max_nodes: int = 5, max_paths: int | None = None) -> DataFrame:
     """All simple paths of at most max_nodes nodes from roots to targets: graph_id, root, target, path, length,
-    total_weight (sum of strengths), strength (product of hop weights) and types (of the hops).
+    total_weight (sum of strengths, null is 1.0), strength (product of hop weights) and types (of the hops).
 
-    Parallel edges give rows of their own; a target ends a path. targets: graph_id, target.
+    Parallel edges give rows of their own; a target ends a path. targets: graph_id, target. With max_paths the first so
+    many of each root and target by length, weight and path. A path goes on only where a target is near enough.
     """
-    at = roots.select("graph_id", "root", F.col("root").alias("id"), F.array("root").alias("path"), F.lit(0.0).alias("weight"), F.lit(1.0).alias("product"), F.expr("CAST(array() AS array<string>)").alias("types"))
-    front = checkpoint(at.distinct())
     goal = targets.select("graph_id", F.col("target").alias("id")).distinct().withColumn("_goal", F.lit(True))
+    left = hops_to(step, goal, max_nodes - 1)
+    at = roots.select("graph_id", "root", F.col("root").alias("id"), F.array("root").alias("path"), F.lit(0.0).alias("weight"), F.lit(1.0).alias("product"), F.expr("CAST(array() AS array<string>)").alias("types"))
+    front = checkpoint(at.distinct().join(left.select("graph_id", "id"), ["graph_id", "id"], "left_semi"))
     found = front.join(goal, ["graph_id", "id"], "left_semi")
     front = front.join(goal, ["graph_id", "id"], "left_anti")
     hop = lookup(HOP_WEIGHT, F.col("type"), OTHER_HOP) * F.col("strength")
-    for _ in range(1, max_nodes):
-        new = step.join(small(front), ["graph_id", "id"]).where(~F.array_contains("path", F.col("next")))
+    near = step.join(left.select("graph_id", F.col("id").alias("next"), "left"), ["graph_id", "next"]).withColumnRenamed("weight", "_w")
+    for n in range(1, max_nodes):
+        new = near.where(F.col("left") <= max_nodes - 1 - n).join(small(front), ["graph_id", "id"]).where(~F.array_contains("path", F.col("next")))
         new = new.select(
-            "graph_id", "root", F.col("next").alias("id"), F.concat("path", F.array("next")).alias("path"), (F.col("weight") + F.col("strength")).alias("weight"),
+            "graph_id", "root", F.col("next").alias("id"), F.concat("path", F.array("next")).alias("path"), (F.col("weight") + F.col("_w")).alias("weight"),
             (F.col("product") * hop).alias("product"), F.concat("types", F.array("type")).alias("types"),
         )
-        new = checkpoint(new.join(goal, ["graph_id", "id"], "left"))
+        new, more = scratch_counted(new.join(goal, ["graph_id", "id"], "left"), F.col("_goal").isNull())
         found = found.unionByName(new.where("_goal").select(found.columns))
         front = new.where("_goal IS NULL").drop("_goal")
-        if not front.take(1):
+        if not more:
             break
-    return found.select("graph_id", "root", F.col("id").alias("target"), "path", (F.size("path") - 1).alias("length"), F.round("weight", 9).alias("total_weight"), F.round("product", 9).alias("strength"), "types")
+    out = found.select("graph_id", "root", F.col("id").alias("target"), "path", (F.size("path") - 1).alias("length"), F.round("weight", 9).alias("total_weight"), F.round("product", 9).alias("strength"), "types")
+    if max_paths is None:
+        return out
+    # a row number under a limit is cut before the shuffle, so the paths of a pair don't meet in one task
+    order = W.partitionBy("graph_id", "root", "target").orderBy("length", "total_weight", "path", "types")
+    return out.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= max_paths).drop("_n")
 
 
 def cycles(edges: DataFrame, max_nodes: int = 4, edge_types: list[str] | None = None) -> DataFrame:

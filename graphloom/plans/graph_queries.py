@@ -16,7 +16,8 @@ from graphloom.streaming import changes as ch
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
-DEPTH = 3
+#: Depth of impacts, as the survey has it.
+DEPTH = 5
 #: Nodes of the longest cycles, as the survey has it.
 LONGEST_CYCLE = 10
 
@@ -54,8 +55,8 @@ def log(s: SparkSession, d: str) -> DataFrame:
 
 
 def roots(n: DataFrame) -> DataFrame:
-    """The class with the least id of each graph: what the impact queries change."""
-    return n.where("type = 'class'").groupBy("graph_id").agg(F.min("id").alias("root"))
+    """The stated query set: every node whose id's hash is divisible by 20, against all nodes."""
+    return n.where("CAST(conv(substring(md5(id), 1, 6), 16, 10) AS BIGINT) % 20 = 0").select("graph_id", F.col("id").alias("root")).distinct()
 
 
 def impacts(s: SparkSession, d: str) -> DataFrame:
@@ -184,7 +185,11 @@ def _(s, d):
     return rw.compress_chains(scratch_table(edges(s, d), "edges"))
 
 
-@query("o6_components")
+_CLOSED = "r AS (SELECT graph_id, id, id AS other FROM ends UNION SELECT r.graph_id, r.id, b.nxt FROM r JOIN {0} b ON b.graph_id = r.graph_id AND b.id = r.other)"
+_ENDS = "ends AS (SELECT graph_id, id FROM nodes_c UNION SELECT graph_id, source_id FROM edges_c UNION SELECT graph_id, target_id FROM edges_c)"
+
+
+@query("o6_components", q.with_(q.NODES, q.EDGES, _ENDS, "both_e AS (SELECT graph_id, source_id AS id, target_id AS nxt FROM edges_c UNION SELECT graph_id, target_id, source_id FROM edges_c)", _CLOSED.format("both_e"), recursive=True) + "SELECT graph_id, id, min(other) AS component FROM r GROUP BY graph_id, id")
 def _(s, d):
     return rw.components(nodes(s, d), edges(s, d))
 
@@ -211,32 +216,35 @@ def _(s, d):
 
 
 # queries
-@query("g1_shortest", q.with_(q.NODES, q.EDGES, q.ROOTS, *q.reach("way", 4, "source_id", "target_id")) + "SELECT graph_id, root, id AS target, distance AS length FROM way")
+@query("g1_shortest", q.with_(q.NODES, q.EDGES, q.ROOTS, *q.shortest(LONGEST_CYCLE - 1)) + "SELECT graph_id, root, id AS target, distance AS length, round(b.w, 6) AS total_weight, array_to_string(b.p, ',') AS path FROM way")
 def _(s, d):
     n = nodes(s, d)
-    return tr.reach(tr.steps(scratch_table(edges(s, d), "edges")), roots(n), LONGEST_CYCLE - 1).select("graph_id", "root", F.col("id").alias("target"), F.col("distance").alias("length"))
+    w = tr.shortest(tr.steps(scratch_table(edges(s, d), "edges")), roots(n), LONGEST_CYCLE)
+    return w.select("graph_id", "root", "target", "length", F.round("total_weight", 6).alias("total_weight"), joined())
 
 
-_PATHS = """start AS (SELECT graph_id, min(id) AS root FROM nodes_c WHERE type = 'method' GROUP BY graph_id), goal AS (SELECT graph_id, id AS target FROM nodes_c WHERE type IN ('class', 'struct')),
-st AS (SELECT graph_id, source_id AS id, target_id AS nxt, coalesce(strength, 0.5::DOUBLE) AS w FROM edges_c WHERE type IN ('inherits', 'composes', 'implements', 'contains')),
-walk AS (SELECT graph_id, root, root AS id, [root] AS path, 0.0::DOUBLE AS weight, 0 AS n FROM start
-  UNION ALL SELECT k.graph_id, k.root, s.nxt, list_append(k.path, s.nxt), k.weight + s.w, k.n + 1 FROM walk k JOIN st s ON s.graph_id = k.graph_id AND s.id = k.id
-  WHERE k.n < 3 AND NOT list_contains(k.path, s.nxt) AND (k.graph_id, k.id) NOT IN (SELECT (graph_id, target) FROM goal))"""
+def _paths(most: int, weight: str, start: str) -> str:
+    return f"""start AS (SELECT graph_id, id AS root FROM nodes_c WHERE type = 'method'), goal AS (SELECT graph_id, id AS target FROM nodes_c WHERE type IN ('class', 'struct')),
+st AS (SELECT graph_id, source_id AS id, target_id AS nxt, {weight} AS w, type FROM edges_c),
+walk AS (SELECT graph_id, root, root AS id, [root] AS path, {start}::DOUBLE AS weight, ''::VARCHAR AS types, 0 AS n FROM start
+  UNION ALL SELECT k.graph_id, k.root, s.nxt, list_append(k.path, s.nxt), k.weight {'+' if start == '0.0' else '*'} s.w, k.types || s.type || ' ', k.n + 1 FROM walk k JOIN st s ON s.graph_id = k.graph_id AND s.id = k.id
+  WHERE k.n < {most - 1} AND NOT list_contains(k.path, s.nxt) AND (k.graph_id, k.id) NOT IN (SELECT (graph_id, target) FROM goal)),
+hit AS (SELECT * FROM walk WHERE (graph_id, id) IN (SELECT (graph_id, target) FROM goal))"""
 
 
-@query("g2_all_paths", q.with_(q.NODES, q.EDGES, _PATHS, recursive=True) + "SELECT graph_id, root, id AS target, array_to_string(path, ',') AS path, n AS length, round(weight, 6) AS total_weight FROM walk WHERE (graph_id, id) IN (SELECT (graph_id, target) FROM goal)")
+@query("g2_all_paths", q.with_(q.NODES, q.EDGES, _paths(5, "coalesce(strength, 1.0::DOUBLE)", "0.0"), recursive=True) + "SELECT graph_id, root, target, path, length, total_weight FROM (SELECT graph_id, root, id AS target, array_to_string(path, ',') AS path, n AS length, round(weight, 6) AS total_weight, row_number() OVER (PARTITION BY graph_id, root, id ORDER BY n, round(weight, 9), path, types) AS k FROM hit) WHERE k <= 10")
 def _(s, d):
     n = nodes(s, d)
     start = n.where("type = 'method'").select("graph_id", F.col("id").alias("root"))
     goal = n.where("type IN ('class', 'struct')").select("graph_id", F.col("id").alias("target"))
-    p = tr.paths(tr.steps(scratch_table(edges(s, d), "edges")), start, goal, 5)
+    p = tr.paths(tr.steps(scratch_table(edges(s, d), "edges")), start, goal, 5, 10)
     return p.select("graph_id", "root", "target", joined(), "length", F.round("total_weight", 6).alias("total_weight"))
 
 
-@query("g3_impact_edges", q.with_(q.NODES, q.EDGES, q.ROOTS, *q.reach("way", 2, "source_id", "target_id")) + "SELECT DISTINCT e.graph_id, e.id FROM edges_c e JOIN way w ON w.graph_id = e.graph_id AND w.id = e.source_id WHERE w.distance < 2")
+@query("g3_impact_edges", q.with_(q.NODES, q.EDGES, q.ROOTS, *q.reach("way", 5, "source_id", "target_id")) + "SELECT DISTINCT e.graph_id, e.id FROM edges_c e JOIN way w ON w.graph_id = e.graph_id AND w.id = e.source_id WHERE w.distance < 5")
 def _(s, d):
     n, e = nodes(s, d), scratch_table(edges(s, d), "edges")
-    inside = tr.reach(tr.steps(e), roots(n), 2).where("distance < 2").select("graph_id", F.col("id").alias("source_id")).distinct()
+    inside = tr.reach(tr.steps(e), roots(n), 5).where("distance < 5").select("graph_id", F.col("id").alias("source_id")).distinct()
     return e.join(inside, ["graph_id", "source_id"], "left_semi").select("graph_id", "id")
 
 
@@ -255,12 +263,12 @@ walk AS (SELECT graph_id, a AS st, b AS at, [a, b] AS path FROM e2 WHERE b > a
 _CYCLE_OUT = "SELECT DISTINCT w.graph_id, array_to_string(list_append(w.path, w.st), ',') AS cycle, len(w.path) AS length FROM walk w JOIN e2 e ON e.graph_id = w.graph_id AND e.a = w.at AND e.b = w.st"
 
 
-@query("g5_cycles", q.with_(q.EDGES, _CYCLE.format(types="'inherits', 'implements', 'composes', 'contains', 'accesses'"), recursive=True) + _CYCLE_OUT)
+@query("g5_cycles", q.with_(q.EDGES, _CYCLE.replace(" AND type IN ({types})", "").replace("len(w.path) < 4", "len(w.path) < 10"), recursive=True) + _CYCLE_OUT)
 def _(s, d):
     return tr.cycles(edges(s, d), LONGEST_CYCLE).select("graph_id", joined("cycle"), "length")
 
 
-@query("g6_scc")
+@query("g6_scc", q.with_(q.NODES, q.EDGES, _ENDS, "one_e AS (SELECT DISTINCT graph_id, source_id AS id, target_id AS nxt FROM edges_c WHERE source_id <> target_id)", _CLOSED.format("one_e"), recursive=True) + "SELECT a.graph_id, a.id, min(a.other) AS component FROM r a JOIN r b ON a.graph_id = b.graph_id AND a.id = b.other AND a.other = b.id GROUP BY a.graph_id, a.id HAVING count(*) > 1")
 def _(s, d):
     return tr.strong_components(edges(s, d))
 
@@ -316,10 +324,7 @@ def _(s, d):
     return qu.page_info(nodes(s, d), 100, 3)
 
 
-_PATHS2 = _PATHS.replace("coalesce(strength, 0.5::DOUBLE) AS w FROM", f"coalesce(strength, 0.5::DOUBLE) AS w, {q.case(HOP_WEIGHT, 'type', 0.5)} * coalesce(strength, 0.5::DOUBLE) AS h, type FROM").replace("0.0::DOUBLE AS weight,", "1.0::DOUBLE AS weight, ''::VARCHAR AS types,").replace("k.weight + s.w,", "k.weight * s.h, k.types || s.type || ' ',")
-
-
-@query("i10_dependency_paths", q.with_(q.NODES, q.EDGES, _PATHS2, recursive=True) + "SELECT graph_id, root, id AS target, array_to_string(path, ',') AS path, round(weight, 6) AS strength, trim(types) AS types FROM walk WHERE (graph_id, id) IN (SELECT (graph_id, target) FROM goal)")
+@query("i10_dependency_paths", q.with_(q.NODES, q.EDGES, _paths(6, f"{q.case(HOP_WEIGHT, 'type', 0.5)} * coalesce(strength, 0.5::DOUBLE)", "1.0"), recursive=True) + "SELECT graph_id, root, id AS target, array_to_string(path, ',') AS path, round(round(weight, 9), 6) AS strength, trim(types) AS types FROM hit")
 def _(s, d):
     n = nodes(s, d)
     start = n.where("type = 'method'").select("graph_id", F.col("id").alias("root"))
@@ -334,6 +339,12 @@ def _(s, d):
     return impacts(s, d).select("graph_id", "root", "id", "type", F.round("score", 6).alias("score"), "distance", "level", "role", F.round("strength", 6).alias("strength"), joined())
 
 
+@query("i1_delete", q.with_(*q.impacts(DEPTH, 5)) + "SELECT graph_id, root, id, round(score, 6) AS score, distance, level, role FROM imp")
+def _(s, d):
+    n, e = scratch_table(nodes(s, d), "nodes"), scratch_table(edges(s, d), "edges")
+    return im.impact(n, e, roots(n), DEPTH, change="DELETE").select("graph_id", "root", "id", F.round("score", 6).alias("score"), "distance", "level", "role")
+
+
 @query("i8_critical_paths", q.with_(*q.impacts(DEPTH)) + "SELECT graph_id, root, id, array_to_string(path, ',') AS path, strength FROM imp WHERE level IN ('HIGH', 'CRITICAL') ORDER BY strength DESC, graph_id, root, id LIMIT 10")
 def _(s, d):
     return im.critical_paths(impacts(s, d)).select("graph_id", "root", "id", joined(), "strength")
@@ -359,9 +370,12 @@ def _(s, d):
     return im.change_risk(nodes(s, d), edges(s, d))
 
 
-@query("i11_recommendations")
+_LEVEL = "CASE WHEN risk >= 0.8 THEN 'critical' WHEN risk >= 0.6 THEN 'high' WHEN risk >= 0.4 THEN 'medium' WHEN risk >= 0.2 THEN 'low' ELSE 'minimal' END"
+
+
+@query("i11_recommendations", q.with_(q.NODES, q.EDGES, _RISK) + f"SELECT graph_id, id, concat_ws(', ', CASE WHEN l IN ('critical', 'high') THEN 'review before the change' END, CASE WHEN l IN ('critical', 'high', 'medium') THEN 'test the dependents' END, CASE WHEN connectivity >= 0.7 THEN 'split the change' END, CASE WHEN complexity_risk >= 0.7 THEN 'simplify first' END) AS recommendations FROM (SELECT *, {_LEVEL} AS l FROM total)")
 def _(s, d):
-    return im.recommendations(im.change_risk(nodes(s, d), edges(s, d)))
+    return im.recommendations(im.change_risk(nodes(s, d), edges(s, d))).withColumn("recommendations", F.array_join("recommendations", ", "))
 
 
 _GRADES = [*q.impacts(DEPTH), q.GRADES % q.case(GRADE_TYPE, "type", 0.5)]
@@ -479,7 +493,7 @@ def _(s, d):
     return risk.security_scan(elements(s, d))
 
 
-@query("r2_circular", q.with_(q.EDGES, _CYCLE.format(types="'depends', 'imports'").replace("len(w.path) < 4", "len(w.path) < 3"), recursive=True) + _CYCLE_OUT.replace("AS length", "AS length, 'high' AS level"))
+@query("r2_circular", q.with_(q.EDGES, _CYCLE.format(types="'depends', 'imports'").replace("len(w.path) < 4", "len(w.path) < 10"), recursive=True) + _CYCLE_OUT.replace("AS length", "AS length, 'high' AS level"))
 def _(s, d):
     return risk.circular_dependencies(edges(s, d), LONGEST_CYCLE).select("graph_id", joined("cycle"), "length", "level")
 

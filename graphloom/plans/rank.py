@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from graphloom.session import checkpoint
+from graphloom.session import scratch_table as checkpoint
 
 
 def row_numbers(df: DataFrame, order: list[Column], name: str = "rank", by: list[str] | None = None) -> DataFrame:

@@ -8,7 +8,7 @@ import shutil
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, functions as F
 
 _WRITTEN: list[str] = []
 
@@ -28,9 +28,11 @@ def get_session(app: str = "graphloom", cpus: str | int = "*") -> SparkSession:
 
 def shared_folder(spark: SparkSession) -> str:
     """The folder that all executors share, as ``spark.checkpoint.dir`` names it; one of our own only where that is unset
-    (tests), which is removed at the end of the process."""
+    on a local master (tests), which is removed at the end of the process. A cluster must name one."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if folder is None:
+        if not spark.conf.get("spark.master", "local").startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         folder = tempfile.mkdtemp(prefix="graphloom-")
         spark.conf.set("spark.checkpoint.dir", folder)
         atexit.register(shutil.rmtree, folder, True)
@@ -50,7 +52,21 @@ def scratch_table(df: DataFrame, label: str = "t") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-checkpoint = scratch_table
+def scratch_counted(df: DataFrame, condition: Column, label: str = "t") -> tuple[DataFrame, int]:
+    """A scratch table and the number of its rows that meet a condition, counted while it is written."""
+    seen = Observation()
+    out = scratch_table(df.observe(seen, F.count_if(condition).alias("n")), label)
+    return out, seen.get["n"]
+
+
+def forget(*tables: DataFrame) -> None:
+    """Remove scratch tables that nothing reads any more, as a loop leaves one behind in each round."""
+    for df in tables:
+        jvm = df.sparkSession._jvm
+        for f in {x.rsplit("/", 1)[0] for x in df.inputFiles()}:
+            if any(f.endswith(x.rsplit("/", 1)[1]) for x in _WRITTEN):
+                p = jvm.org.apache.hadoop.fs.Path(f)
+                p.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(p, True)
 
 
 def clear_scratch(spark: SparkSession) -> None:
