@@ -75,3 +75,32 @@ def with_model(df: DataFrame, prompt: str, call=None, answer: str = "answer") ->
         return pd.Series(call(p.tolist()))
 
     return df.withColumn(answer, ask(prompt))
+
+
+def module_documents(elements: DataFrame) -> DataFrame:
+    """A Markdown document of each file: its path as heading and a line for each class, function and method, in order."""
+    some = elements.where(F.col("type").isin("class", "struct", "interface", "function", "method")).withColumn("_k", F.struct("line_number", "id"))
+    head = F.when(F.col("type").isin("class", "struct", "interface"), "## Class ").otherwise("### ")
+    said = F.when(F.length("docstring") > 0, F.concat(F.lit(": "), F.regexp_extract("docstring", r"([^\n.]+)", 1))).otherwise("")
+    lines = some.groupBy("file_path").agg(F.array_sort(F.collect_list(F.struct("_k", F.concat(head, F.coalesce("name", F.lit("")), said).alias("line")))).alias("x"))
+    return lines.where("file_path IS NOT NULL").select("file_path", F.concat(F.lit("# "), "file_path", F.lit("\n"), F.array_join("x.line", "\n")).alias("document"))
+
+
+def class_documents(elements: DataFrame) -> DataFrame:
+    """A Markdown document of each class: id and document, with the signatures of what names it as parent."""
+    c = elements.where(F.col("type").isin("class", "struct", "interface")).select("id", F.concat(F.lit("# "), F.coalesce("name", F.lit("")), F.when(F.length("docstring") > 0, F.concat(F.lit("\n"), "docstring")).otherwise("")).alias("head"))
+    m = elements.where(F.col("type").isin("function", "method") & F.col("parent_id").isNotNull())
+    m = m.select(F.lower(F.trim("parent_id")).alias("id"), F.struct("line_number", F.col("id").alias("k"), F.concat(F.lit("- "), signature(F.coalesce("name", F.lit("")), F.col("parameters"), F.col("return_type"))).alias("line")).alias("x"))
+    lines = m.groupBy("id").agg(F.array_sort(F.collect_list("x")).alias("x"))
+    return c.join(lines, "id", "left").select("id", F.concat("head", F.when(F.col("x").isNotNull(), F.concat(F.lit("\n"), F.array_join("x.line", "\n"))).otherwise("")).alias("document"))
+
+
+def to_html(markdown: Column) -> Column:
+    """Headings, bold text, code and list items of Markdown as HTML, with the marks of HTML escaped first."""
+    out = markdown
+    for a, b in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;")):
+        out = F.replace(out, F.lit(a), F.lit(b))
+    for k in (3, 2, 1):
+        out = F.regexp_replace(out, rf"(?m)^{'#' * k} ([^\n]*)", f"<h{k}>$1</h{k}>")
+    out = F.regexp_replace(out, r"(?m)^- ([^\n]*)", "<li>$1</li>")
+    return F.regexp_replace(F.regexp_replace(out, r"\*\*([^*\n]+)\*\*", "<b>$1</b>"), r"`([^`\n]+)`", "<code>$1</code>")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import operator
+
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 #: Seconds to live by kind of query, and errors of a kind that raise an alert.
@@ -9,6 +11,9 @@ TTL = {"graph_stats": 7200, "node_search": 1800, "path_query": 3600, "impact_ana
 ALERT_ERRORS = {"parse": 10, "database": 5, "ai": 3, "unavailable": 2}
 
 
+COMPARE = {">": operator.gt, ">=": operator.ge, "<": operator.lt, "<=": operator.le, "==": operator.eq, "!=": operator.ne}
+
+
 def ttl(kind: Column, rows: Column) -> Column:
     """Seconds to live, longer for large results."""
     base = F.coalesce(*[F.when(kind == k, v) for k, v in TTL.items()], F.lit(1800))
@@ -62,14 +67,14 @@ def growth(events: DataFrame, minutes: int = 60, least: int = 10) -> DataFrame:
     return x.where(F.col("n") - F.col("before") >= least)
 
 
-def alerts(series: DataFrame, at: str, value: str, threshold: float, duration: int, silence: int = 300, by: list[str] | None = None) -> DataFrame:
-    """Alerts of a condition value > threshold that held for ``duration`` seconds: run start, first alert and their number.
+def alerts(series: DataFrame, at: str, value: str, threshold: float, duration: int, silence: int = 300, by: list[str] | None = None, comparator: str = ">") -> DataFrame:
+    """Alerts of a condition ``value comparator threshold`` (> >= < <= == !=; null breaks none) that held for ``duration`` seconds: run start, first alert and their number.
 
     A run is a stretch of rows that all break the threshold; within it an alert comes again every ``silence`` seconds.
     """
     by = by or []
     w = W.partitionBy(*by).orderBy(at)
-    x = series.withColumn("_b", F.coalesce(F.col(value) > threshold, F.lit(False)))
+    x = series.withColumn("_b", F.coalesce(COMPARE[comparator](F.col(value), threshold), F.lit(False)))
     x = x.withColumn("_new", (F.col("_b") & ~F.coalesce(F.lag("_b").over(w), F.lit(False))).cast("int")).withColumn("_run", F.sum("_new").over(w.rowsBetween(W.unboundedPreceding, 0)))
     runs = x.where("_b").groupBy(*by, "_run").agg(F.min(at).alias("start"), F.max(at).alias("end"), F.max(value).alias("peak"))
     held = F.unix_timestamp("end") - F.unix_timestamp("start")
@@ -91,3 +96,18 @@ def rate_limited(events: DataFrame, limit: int = 100, seconds: int = 60) -> Data
 def all_healthy(checks: DataFrame) -> DataFrame:
     """Overall health: all checks passed."""
     return checks.agg(F.bool_and("ok").alias("healthy"), F.count_if(~F.col("ok")).alias("failed"))
+
+
+def memory_level(used: Column, limit: Column) -> Column:
+    """``critical`` from 90 % of the limit, ``warning`` from 80 %, else ``normal``; null where either is null or the limit is 0."""
+    part = F.when(limit > 0, used / limit)
+    return F.when(part >= 0.9, "critical").when(part >= 0.8, "warning").when(part.isNotNull(), "normal")
+
+
+def stale_keys(keys: DataFrame, changed: DataFrame) -> DataFrame:
+    """Cached results (key, graph_id, node_id) to drop after a change of nodes (graph_id, id); a null node_id is a result of
+    the whole graph."""
+    c = changed.select("graph_id", "id").distinct()
+    whole = keys.where("node_id IS NULL").join(c.select("graph_id").distinct(), "graph_id", "left_semi").select("key")
+    own = keys.join(c.withColumnRenamed("id", "node_id"), ["graph_id", "node_id"], "left_semi").select("key")
+    return whole.unionByName(own).distinct()

@@ -123,3 +123,39 @@ def report_markdown(counts: list, title: str = "Risk report") -> str:
     for r in sorted(counts, key=lambda r: (order.get(r["level"], 9), r["category"])):
         lines.append(f"- **{r['level']}** {r['category']}: {r['issues']} in {r['files']} files")
     return "\n".join(lines)
+
+
+def architecture_smells(nodes: DataFrame, edges: DataFrame, max_nodes: int = 10, max_depth: int = 5, max_methods: int = 20, least_calls: int = 5, least_share: float = 0.6) -> DataFrame:
+    """All smells in one table: smell, graph_id, subject (a node, or a cycle's nodes), level, measure."""
+    row = lambda df, smell, subject, level, measure: df.select(F.lit(smell).alias("smell"), "graph_id", subject.alias("subject"), F.lit(level).alias("level"), measure.cast("double").alias("measure"))
+    parts = [
+        row(circular_dependencies(edges, max_nodes), "circular_dependency", F.array_join("cycle", ","), "high", F.col("length")),
+        row(deep_inheritance(nodes, edges, max_depth), "deep_inheritance", F.col("id"), "medium", F.lit(max_depth + 1)),
+        row(god_classes(nodes, edges, max_methods), "god_class", F.col("id"), "high", F.col("methods")),
+        row(feature_envy(nodes, edges, least_calls, least_share), "feature_envy", F.col("id"), "medium", F.col("share")),
+    ]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
+def enhanced_report(elements: DataFrame, nodes: DataFrame, edges: DataFrame, **kw) -> DataFrame:
+    """Security matches, smells and quality advice counted together: category, kind, level, findings."""
+    count = lambda df, category, kind, level: df.select(F.lit(category).alias("category"), kind.alias("kind"), level.alias("level")).groupBy("category", "kind", "level").agg(F.count("*").alias("findings"))
+    security = count(security_scan(elements), "security", F.col("rule"), F.col("level"))
+    smells = count(architecture_smells(nodes, edges, **kw), "architecture", F.col("smell"), F.col("level"))
+    advice = count(quality(nodes).where("advice"), "quality", F.lit("complex_functions"), F.lit("medium"))
+    return security.unionByName(smells).unionByName(advice)
+
+
+def categories(issues: DataFrame) -> DataFrame:
+    """Issues of each category and how many levels it has."""
+    return issues.groupBy("category").agg(F.count("*").alias("issues"), F.countDistinct("level").alias("levels"))
+
+
+def risk_context(nodes: DataFrame, edges: DataFrame, issues: DataFrame) -> DataFrame:
+    """One row with what an assistant is told about risks: nodes, edges, issues, high ones and components named by keywords."""
+    one = lambda df, name: df.agg(F.count("*").alias(name)).scalar().alias(name)
+    high = issues.where(F.col("level").isin("critical", "high"))
+    return nodes.sparkSession.range(1).select(one(nodes, "nodes"), one(edges, "edges"), one(issues, "issues"), one(high, "high_issues"), one(keyword_components(nodes), "keyword_components"))

@@ -35,17 +35,48 @@ def keywords(text: Column) -> Column:
     return F.array_distinct(F.filter(words, lambda w: (F.length(w) > 1) & ~F.array_contains(stop, w)))
 
 
+def _grams(x: Column) -> Column:
+    """The different runs of three letters of a text, and of one and two for texts and names that are shorter."""
+    n = F.length(x)
+    runs = lambda k: F.when(n >= k, F.transform(F.sequence(F.lit(1), n - (k - 1)), lambda i: F.substring(x, i, F.lit(k)))).otherwise(F.expr("CAST(array() AS array<string>)"))
+    return F.array_distinct(F.concat(runs(1), runs(2), runs(3)))
+
+
+def _lead(x: Column) -> Column:
+    return F.substring(x, 1, 3)
+
+
 def match_names(questions: DataFrame, nodes: DataFrame) -> DataFrame:
     """Nodes that a question's keywords name: question_id, graph_id, id, keyword, score.
 
-    questions: question_id, keywords. Equal names count 1.0 and join on the name; a keyword that is a word of the name
-    counts 0.8 and joins on the name's words; both are hash joins, so no pair is formed without a common word.
+    questions: question_id, keywords. Equal names count 1.0, a keyword within a name 0.8, a name within a keyword 0.6,
+    in any case of letters. Only different keywords and names meet, by a hash join: what is contained in another begins
+    with one of its runs of three letters. Empty names and keywords match nothing.
+    """
+    k = questions.select("question_id", F.explode("keywords").alias("keyword")).where("length(keyword) > 0")
+    n = nodes.select("graph_id", "id", F.lower("name").alias("lname")).where("length(lname) > 0")
+    words, names = k.select("keyword").distinct(), n.select("lname").distinct()
+    inside = words.withColumn("_g", _lead(F.col("keyword"))).join(names.withColumn("_g", F.explode(_grams(F.col("lname")))), "_g").where(F.col("lname").contains(F.col("keyword")))
+    around = words.withColumn("_g", F.explode(_grams(F.col("keyword")))).join(names.withColumn("_g", _lead(F.col("lname"))), "_g").where(F.col("keyword").contains(F.col("lname")))
+    pairs = inside.select("keyword", "lname", F.when(F.col("keyword") == F.col("lname"), 1.0).otherwise(0.8).alias("score")).unionByName(around.select("keyword", "lname", F.lit(0.6).alias("score")))
+    best = pairs.groupBy("keyword", "lname").agg(F.max("score").alias("score"))
+    return k.join(best, "keyword").join(n, "lname").select("question_id", "graph_id", "id", "keyword", "score")
+
+
+def locate(questions: DataFrame, nodes: DataFrame, k: int = 20) -> DataFrame:
+    """The k best nodes of each question (question_id, text) by names and by the types that its kind asks for:
+    question_id, graph_id, id, type, name, hits, score, rank. A node found both ways counts with both.
+
+    By type the first ten nodes of each kind of question are added, at a score of 0.3, as names alone may name none.
     """
-    k = questions.select("question_id", F.explode("keywords").alias("keyword"))
-    n = nodes.where("name IS NOT NULL").select("graph_id", "id", F.lower("name").alias("lname"), F.split(F.lower(F.regexp_replace("name", r"([a-z0-9])([A-Z])", "$1_$2")), "_+").alias("words"))
-    full = k.join(n, F.col("keyword") == F.col("lname")).select("question_id", "graph_id", "id", "keyword", F.lit(1.0).alias("score"))
-    part = k.join(n.select("graph_id", "id", "lname", F.explode(F.array_distinct("words")).alias("word")), F.col("keyword") == F.col("word")).where("keyword <> lname").select("question_id", "graph_id", "id", "keyword", F.lit(0.8).alias("score"))
-    return full.unionByName(part)
+    q = questions.select("question_id", question_type(F.col("text")).alias("kind"), keywords(F.col("text")).alias("keywords"))
+    found = match_names(q, nodes)
+    typed = None
+    for kind in TYPES_FOR:
+        some = by_question_type(nodes, kind).select(F.lit(kind).alias("kind"), "graph_id", "id")
+        typed = some if typed is None else typed.unionByName(some)
+    fit = q.select("question_id", "kind").join(typed, "kind").select("question_id", "graph_id", "id", F.lit("").alias("keyword"), F.lit(0.3).alias("score"))
+    return rank_matches(found.unionByName(fit), nodes, k)
 
 
 def rank_matches(matches: DataFrame, nodes: DataFrame, k: int = 20) -> DataFrame:

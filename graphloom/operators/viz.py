@@ -7,13 +7,15 @@ import math
 from pyspark.sql import Column, DataFrame, functions as F
 
 from graphloom.plans.rank import row_numbers
+from graphloom.schema import lookup
 
+#: Colours of levels.
 LEVEL_COLOUR = {"CRITICAL": "#d32f2f", "HIGH": "#f57c00", "MEDIUM": "#fbc02d", "LOW": "#388e3c", "NONE": "#9e9e9e"}
 
 
 def visual_nodes(impacts: DataFrame) -> DataFrame:
-    """Size 8 + 17 score and opacity of each node."""
-    return impacts.select("graph_id", "root", "id", "level", "distance", F.round(8 + 17 * F.col("score"), 6).alias("size"), F.round(F.least(F.lit(0.8), F.col("score") + 0.3), 6).alias("opacity"))
+    """Size 8 + 17 score, opacity and the level's colour of each node."""
+    return impacts.select("graph_id", "root", "id", "level", "distance", F.round(8 + 17 * F.col("score"), 6).alias("size"), F.round(F.least(F.lit(0.8), F.col("score") + 0.3), 6).alias("opacity"), lookup(LEVEL_COLOUR, F.col("level"), LEVEL_COLOUR["NONE"]).alias("colour"))
 
 
 def visual_edges(paths: DataFrame) -> DataFrame:
@@ -96,3 +98,17 @@ def related(nodes: DataFrame, neighbours: DataFrame, text: str) -> DataFrame:
     t = text.lower()
     hit = nodes.where(F.lower("label").contains(t) | F.lower("type").contains(t) | F.lower("name").contains(t)).select("graph_id", "id")
     return hit.unionByName(neighbours.join(hit, ["graph_id", "id"], "left_semi").select("graph_id", F.col("neighbour").alias("id"))).distinct()
+
+
+def tree_layout(impacts: DataFrame, width: float = 800.0, gap: float = 100.0) -> DataFrame:
+    """A tree under each root: a node's parent is the one before it on its path, rows are distances, and nodes of a row go by
+    parent, so that branches stay together."""
+    x = impacts.withColumn("parent", F.when(F.size("path") > 1, F.col("path")[F.size("path") - 2]))
+    by = ["graph_id", "root", "distance"]
+    d = row_numbers(x, [F.asc("parent"), F.asc("id")], "_i", by).join(x.groupBy(*by).agg(F.count("*").alias("_n")), by)
+    return d.select("graph_id", "root", "id", "parent", *_xy(width * F.col("_i") / (F.col("_n") + 1), gap * (F.col("distance") + 1)))
+
+
+def strongest(impacts: DataFrame, k: int = 20) -> DataFrame:
+    """The k strongest paths over all roots, with their number of hops."""
+    return impacts.orderBy(F.desc("strength"), "graph_id", "root", "id").limit(k).select("graph_id", "root", "id", "strength", (F.size("path") - 1).alias("hops"))

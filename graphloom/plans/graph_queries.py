@@ -8,7 +8,7 @@ from graphloom.functions import text as tx
 from graphloom.operators import build, clean, impact as im, ops, query as qu, rewrite as rw, risk, search, traverse as tr, viz
 from graphloom.plans import sql as q
 from graphloom.plans.rank import row_numbers
-from graphloom.schema import GRADE_TYPE, HOP_WEIGHT
+from graphloom.schema import GRADE_TYPE, HOP_WEIGHT, SECURITY_RULES
 from graphloom.session import scratch_table
 from graphloom.sources import parse, store
 from graphloom.sources.tables import table
@@ -417,7 +417,7 @@ def _(s, d):
     return viz.visual_edges(impacts(s, d))
 
 
-@query("v2_nodes", q.with_(*q.impacts(DEPTH)) + "SELECT graph_id, root, id, level, distance, round(8 + 17 * score, 6) AS size, round(least(0.8::DOUBLE, score + 0.3::DOUBLE), 6) AS opacity FROM imp")
+@query("v2_nodes", q.with_(*q.impacts(DEPTH)) + "SELECT graph_id, root, id, level, distance, round(8 + 17 * score, 6) AS size, round(least(0.8::DOUBLE, score + 0.3::DOUBLE), 6) AS opacity, CASE level " + " ".join(f"WHEN '{k}' THEN '{c}'" for k, c in viz.LEVEL_COLOUR.items()) + " END AS colour FROM imp")
 def _(s, d):
     return viz.visual_nodes(impacts(s, d))
 
@@ -440,6 +440,16 @@ def _(s, d):
     return viz.row_layout(scratch_table(impacts(s, d), "impacts"))
 
 
+@query("v5_tree", q.with_(*q.impacts(DEPTH)) + ", t AS (SELECT *, path[len(path) - 1] AS parent FROM imp) SELECT graph_id, root, id, parent, round(800::DOUBLE * row_number() OVER (PARTITION BY graph_id, root, distance ORDER BY parent, id) / (count(*) OVER (PARTITION BY graph_id, root, distance) + 1), 4) AS x, round(100::DOUBLE * (distance + 1), 4) AS y FROM t")
+def _(s, d):
+    return viz.tree_layout(scratch_table(impacts(s, d), "impacts"))
+
+
+@query("v12_strongest", q.with_(*q.impacts(DEPTH)) + "SELECT graph_id, root, id, strength, len(path) - 1 AS hops FROM imp ORDER BY strength DESC, graph_id, root, id LIMIT 20")
+def _(s, d):
+    return viz.strongest(impacts(s, d))
+
+
 @query("v6_circle", q.with_(*q.impacts(DEPTH)) + f"SELECT graph_id, root, id, round(400 + 200 * cos(2 * pi() * k / n), 4) AS x, round(300 + 200 * sin(2 * pi() * k / n), 4) AS y FROM (SELECT *, {_RING.format(by='graph_id, root')} FROM imp)")
 def _(s, d):
     return viz.circle_layout(scratch_table(impacts(s, d), "impacts"))
@@ -526,6 +536,44 @@ def _(s, d):
     return risk.feature_envy(nodes(s, d), edges(s, d), 1, 0.4)
 
 
+@query("r6_smells")
+def _(s, d):
+    n, e = scratch_table(nodes(s, d), "nodes"), scratch_table(edges(s, d), "edges")
+    return risk.architecture_smells(n, e, max_depth=2, max_methods=1, least_calls=1, least_share=0.4).withColumn("measure", F.round("measure", 6))
+
+
+@query("r6_by_kind", q.with_(q.NODES, q.EDGES, _DEF, _ENVY, _CYCLE.format(types="'depends', 'imports'").replace("len(w.path) < 4", "len(w.path) < 10"), recursive=True) + f"""SELECT 'circular_dependency' AS smell, count(*) AS n FROM ({_CYCLE_OUT}) HAVING count(*) > 0
+  UNION ALL SELECT 'god_class', count(*) FROM (SELECT 1 FROM d GROUP BY graph_id, source_id HAVING count(*) > 1) HAVING count(*) > 0
+  UNION ALL SELECT 'feature_envy', count(*) FROM (SELECT 1 FROM per GROUP BY graph_id, id HAVING sum(n) > 1 AND max(n) / sum(n) > 0.4) HAVING count(*) > 0
+  UNION ALL SELECT 'deep_inheritance', count(*) FROM (SELECT DISTINCT a.graph_id, a.source_id FROM edges_c a JOIN edges_c b ON a.graph_id = b.graph_id AND a.target_id = b.source_id AND b.type = 'inherits' AND b.source_id <> b.target_id JOIN nodes_c n ON n.graph_id = a.graph_id AND n.id = a.source_id AND n.type = 'class' WHERE a.type = 'inherits' AND a.source_id <> a.target_id) HAVING count(*) > 0""")
+def _(s, d):
+    return QUERIES["r6_smells"](s, d).groupBy("smell").agg(F.count("*").alias("n"))
+
+
+@query("r9_report")
+def _(s, d):
+    n, e = scratch_table(nodes(s, d), "nodes"), scratch_table(edges(s, d), "edges")
+    return risk.enhanced_report(elements(s, d), n, e)
+
+
+_SECURITY = " UNION ALL ".join(f"SELECT id, '{n}' AS rule, '{lv}' AS level, len(regexp_extract_all(text, '(?is)" + p.replace("'", "''") + "')) AS matches FROM t" for n, p, lv in SECURITY_RULES)
+
+
+@query("r1_counts", q.with_(q.ELEMENTS, "t AS (SELECT id, CASE WHEN length(docstring) > 0 THEN docstring ELSE code END AS text FROM elements_c)") + f"SELECT id, rule, level, matches FROM ({_SECURITY}) WHERE matches > 0")
+def _(s, d):
+    return risk.security_scan(elements(s, d)).groupBy("id", "rule", "level").agg(F.count("*").alias("matches"))
+
+
+@query("r13_categories", q.with_(q.ISSUES) + "SELECT category, count(*) AS issues, count(DISTINCT level) AS levels FROM issues_c GROUP BY 1")
+def _(s, d):
+    return risk.categories(issues(s, d))
+
+
+@query("e18_risk_context", q.with_(q.NODES, q.EDGES, q.ISSUES) + "SELECT (SELECT count(*) FROM nodes_c) AS nodes, (SELECT count(*) FROM edges_c) AS edges, (SELECT count(*) FROM issues_c) AS issues, (SELECT count(*) FROM issues_c WHERE level IN ('critical', 'high')) AS high_issues, (SELECT count(*) FROM nodes_c WHERE regexp_matches(lower(label), 'auth|login|password|token|session|database|sql|query|connection')) AS keyword_components")
+def _(s, d):
+    return risk.risk_context(nodes(s, d), edges(s, d), issues(s, d))
+
+
 @query("r7_quality", q.with_(q.NODES) + "SELECT graph_id, count(*) AS functions, round(avg(complexity) FILTER (complexity > 0), 6) AS mean_complexity, count(*) FILTER (complexity > 3) AS too_complex, greatest(0, 100 - least(5 * count(*) FILTER (complexity > 3), 30)) AS score, count(*) FILTER (complexity > 3) > 0 OR coalesce(round(avg(complexity) FILTER (complexity > 0), 6), 0) > 8 AS advice FROM nodes_c WHERE type IN ('method', 'function') GROUP BY graph_id")
 def _(s, d):
     return risk.quality(nodes(s, d), 3)
@@ -647,10 +695,10 @@ def _(s, d):
     return table(s, d, "eval_items").where("text IS NOT NULL").select("item_id", F.array_join(F.array_sort(search.keywords(F.col("text"))), ",").alias("keywords"))
 
 
-_WORDS = r"string_split_regex(lower(regexp_replace(name, '([a-z0-9])([A-Z])', '\1_\2', 'g')), '_+')"
 _MATCH = f"""keys AS ({_KEYS}), k AS (SELECT item_id AS question_id, unnest(keywords) AS keyword FROM keys),
-nm AS (SELECT graph_id, id, lower(name) AS lname, list_distinct({_WORDS}) AS words FROM nodes_c WHERE name IS NOT NULL), nw AS (SELECT graph_id, id, lname, unnest(words) AS word FROM nm),
-m AS (SELECT question_id, graph_id, id, keyword, 1.0::DOUBLE AS score FROM k JOIN nm ON k.keyword = nm.lname UNION ALL SELECT question_id, graph_id, id, keyword, 0.8::DOUBLE FROM k JOIN nw ON k.keyword = nw.word WHERE keyword <> lname)"""
+nm AS (SELECT graph_id, id, lower(name) AS lname FROM nodes_c WHERE name <> ''),
+best AS (SELECT keyword, lname, CASE WHEN keyword = lname THEN 1.0::DOUBLE WHEN contains(lname, keyword) THEN 0.8::DOUBLE ELSE 0.6::DOUBLE END AS score FROM (SELECT DISTINCT keyword FROM k) a JOIN (SELECT DISTINCT lname FROM nm) b ON contains(lname, keyword) OR contains(keyword, lname)),
+m AS (SELECT question_id, graph_id, id, keyword, score FROM k JOIN best USING (keyword) JOIN nm USING (lname))"""
 
 
 def _matches(s, d):
@@ -674,6 +722,17 @@ def _(s, d):
     return search.rank_matches(_matches(s, d), nodes(s, d))
 
 
+_KIND_TYPES = ", ".join(f"('{k}', ['" + "', '".join(t) + "'])" for k, t in search.TYPES_FOR.items())
+
+
+@query("q7_locate", q.with_(q.NODES, _MATCH, f"kinds AS (SELECT item_id AS question_id, {_TYPES} AS kind FROM eval_items WHERE text IS NOT NULL)", f"tf AS (SELECT * FROM (VALUES {_KIND_TYPES}) t(kind, types))",
+    "typed AS (SELECT kind, graph_id, id FROM (SELECT kind, graph_id, id, row_number() OVER (PARTITION BY kind ORDER BY graph_id, id) AS r FROM tf JOIN nodes_c ON list_contains(types, type)) WHERE r <= 10)",
+    "every AS (SELECT question_id, graph_id, id, keyword, score FROM m UNION ALL SELECT question_id, graph_id, id, '', 0.3::DOUBLE FROM kinds JOIN typed USING (kind))") + f"""SELECT * FROM (SELECT question_id, graph_id, id, type, name, hits, score, row_number() OVER (PARTITION BY question_id ORDER BY score DESC, graph_id, id) AS rank FROM (
+  SELECT question_id, graph_id, id, n.type, n.name, count(DISTINCT keyword) AS hits, round(sum(score) * {q.case(search.TYPE_WEIGHT, 'n.type', 1.0)}, 6) AS score FROM every JOIN nodes_c n USING (graph_id, id) GROUP BY question_id, graph_id, id, n.type, n.name)) WHERE rank <= 20""")
+def _(s, d):
+    return search.locate(table(s, d, "eval_items").where("text IS NOT NULL").select(F.col("item_id").alias("question_id"), "text"), nodes(s, d))
+
+
 @query("q8_callers", q.with_(q.EDGES) + ", c AS (SELECT DISTINCT graph_id, target_id AS id, source_id AS caller FROM edges_c WHERE lower(type) IN ('calls', 'uses', 'depends')) SELECT graph_id, id, string_agg(caller, ',' ORDER BY caller) FILTER (r <= 10) AS callers, count(*) AS all FROM (SELECT *, row_number() OVER (PARTITION BY graph_id, id ORDER BY caller) AS r FROM c) GROUP BY 1, 2".replace(" AS all", ' AS "all"'))
 def _(s, d):
     return search.calls(edges(s, d))
@@ -737,6 +796,26 @@ def _(s, d):
     return x.select("doc_id", F.array_join(tx.headings(F.col("text")), "|").alias("headings"))
 
 
+_MODULE = """lines AS (SELECT file_path, line_number, id, CASE WHEN type IN ('class', 'struct', 'interface') THEN '## Class ' ELSE '### ' END || coalesce(name, '') || CASE WHEN length(docstring) > 0 THEN ': ' || regexp_extract(docstring, '([^\\n.]+)', 1) ELSE '' END AS line
+  FROM elements_c WHERE type IN ('class', 'struct', 'interface', 'function', 'method') AND file_path IS NOT NULL),
+docs AS (SELECT file_path, '# ' || file_path || chr(10) || string_agg(line, chr(10) ORDER BY line_number NULLS FIRST, id) AS document FROM lines GROUP BY file_path)"""
+
+
+@query("a6_modules", q.with_(q.ELEMENTS, _MODULE) + "SELECT * FROM docs")
+def _(s, d):
+    return tx.module_documents(elements(s, d))
+
+
+@query("a6_classes")
+def _(s, d):
+    return tx.class_documents(elements(s, d))
+
+
+@query("a6_html", q.with_(q.ELEMENTS, _MODULE) + r"SELECT file_path, regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(replace(replace(replace(document, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '(?m)^### ([^\n]*)', '<h3>\1</h3>', 'g'), '(?m)^## ([^\n]*)', '<h2>\1</h2>', 'g'), '(?m)^# ([^\n]*)', '<h1>\1</h1>', 'g'), '(?m)^- ([^\n]*)', '<li>\1</li>', 'g'), '\*\*([^*\n]+)\*\*', '<b>\1</b>', 'g'), '`([^`\n]+)`', '<code>\1</code>', 'g') AS html FROM docs")
+def _(s, d):
+    return tx.module_documents(elements(s, d)).select("file_path", tx.to_html(F.col("document")).alias("html"))
+
+
 @query("a7_truncated", "SELECT doc_id, CASE WHEN length(text) > 100 THEN text[1:97] || '...' ELSE text END AS head FROM documents")
 def _(s, d):
     return table(s, d, "documents").select("doc_id", tx.truncate(F.col("text"), 100).alias("head"))
@@ -808,6 +887,19 @@ def _(s, d):
     return store.import_rows(store.export_rows(nodes(s, d)))
 
 
+@query("s8_documents")
+def _(s, d):
+    return store.graph_documents(nodes(s, d), edges(s, d))
+
+
+_X = lambda c: "replace(replace(replace(replace(coalesce(" + c + ", ''), '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), chr(34), '&quot;')"
+
+
+@query("s12_graphml", q.with_(q.NODES, q.EDGES) + f"SELECT graph_id, 'node' AS part, id, '<node id=\"' || {_X('id')} || '\"><data key=\"label\">' || {_X('label')} || '</data><data key=\"type\">' || {_X('type')} || '</data></node>' AS xml FROM nodes_c UNION ALL SELECT graph_id, 'edge', id, '<edge id=\"' || {_X('id')} || '\" source=\"' || {_X('source_id')} || '\" target=\"' || {_X('target_id')} || '\"><data key=\"type\">' || {_X('type')} || '</data></edge>' FROM edges_c")
+def _(s, d):
+    return store.graphml_rows(nodes(s, d), edges(s, d))
+
+
 @query("s14_retained", "SELECT id, name, strftime(ts, '%Y-%m-%d %H:%M:%S') AS ts FROM (SELECT event_id AS id, user_id AS name, ts, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id) AS n, max(ts) OVER (PARTITION BY user_id) AS last FROM events) WHERE n <= 30 AND ts >= last - INTERVAL 7 DAYS")
 def _(s, d):
     b = table(s, d, "events").select(F.col("event_id").alias("id"), F.col("user_id").alias("name"), "ts")
@@ -831,13 +923,39 @@ def _(s, d):
 @query("x3_relationships")
 def _(s, d):
     e = scratch_table(parse.element_rows(parsed(s, d)), "elements")
-    every = parse.inheritance(e).unionByName(parse.call_edges(e)).unionByName(parse.defines(e)).unionByName(parse.cross_file_inheritance(e))
+    files = scratch_table(parsed(s, d), "parsed")
+    imports = parse.import_edges(files).select(F.col("source_file").alias("source_id"), F.col("target_file").alias("target_id"), F.lit("imports").alias("type"))
+    usage = parse.cross_file_usage(e, files).select("source_id", "target_id", F.lit("uses").alias("type"))
+    every = parse.inheritance(e)
+    for part in (parse.call_edges(e), parse.defines(e), parse.cross_file_inheritance(e), parse.dependencies(e), parse.compositions(e), imports, usage):
+        every = every.unionByName(part)
     return every.groupBy("source_id", "target_id", "type").agg(F.count("*").alias("sites"))
 
 
 @query("x4_usage")
 def _(s, d):
-    return parse.cross_file_usage(scratch_table(parse.element_rows(parsed(s, d)), "elements"))
+    return parse.cross_file_usage(scratch_table(parse.element_rows(parsed(s, d)), "elements"), scratch_table(parsed(s, d), "parsed"))
+
+
+@query("x3_types")
+def _(s, d):
+    e = scratch_table(parse.element_rows(parsed(s, d)), "elements")
+    return parse.dependencies(e).unionByName(parse.compositions(e))
+
+
+@query("x6_file_cycles")
+def _(s, d):
+    return parse.file_cycles(parse.import_edges(parsed(s, d), itself=True)).select(joined("cycle"), "length")
+
+
+@query("e7_call_kinds")
+def _(s, d):
+    return parse.call_kinds(parse.element_rows(parsed(s, d)))
+
+
+@query("e19_project")
+def _(s, d):
+    return parse.project_summary(parsed(s, d))
 
 
 @query("a4_class_split")

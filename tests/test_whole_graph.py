@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+
 import random
 
 from graphloom.operators import rewrite as rw, traverse as tr
@@ -92,9 +94,12 @@ def test_paths_from_all_methods_over_all_types(spark, tmp_path):
 
 
 def test_shortest_paths_of_ten_nodes(spark, tmp_path):
-    df = edges(spark, ring(12))
+    """From every node whose id's hash is divisible by 20."""
+    df = edges(spark, ring(40))
     df.write.parquet(f"{tmp_path}/edges.parquet")
     columns = "graph_id string, id string, label string, type string, element_id string, name string, file_path string, line_number int, complexity int, visibility string, docstring string, created_at timestamp"
-    spark.createDataFrame([("g", "n00", "n00", "class", None, "n00", "f.py", 1, 1, "public", None, None)], columns).write.parquet(f"{tmp_path}/nodes.parquet")
-    got = {r.target: r.length for r in QUERIES["g1_shortest"](spark, str(tmp_path)).collect()}
-    assert got == {f"n{k:02}": k for k in range(10)}
+    ids = [f"n{k:02}" for k in range(40)]
+    spark.createDataFrame([("g", i, i, "class", None, i, "f.py", 1, 1, "public", None, None) for i in ids], columns).write.parquet(f"{tmp_path}/nodes.parquet")
+    roots = [k for k, i in enumerate(ids) if int(hashlib.md5(i.encode()).hexdigest()[:6], 16) % 20 == 0]
+    got = {(r.root, r.target): r.length for r in QUERIES["g1_shortest"](spark, str(tmp_path)).collect()}
+    assert roots and got == {(ids[k], ids[(k + d) % 40]): d for k in roots for d in range(10)}
