@@ -30,6 +30,8 @@ def once(df: DataFrame, key: str = "id") -> DataFrame:
     return df.dropDuplicates([key])
 
 
-def small(df: DataFrame, rows: int = SMALL_ROWS) -> DataFrame:
-    """``df`` with a broadcast hint if a count shows that it is small. For checkpointed or written tables, whose count is cheap."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+def small(df: DataFrame, known: int | None = None, rows: int = SMALL_ROWS) -> DataFrame:
+    """``df`` with a broadcast hint if its known number of rows, else a count, shows that it is small. For checkpointed or
+    written tables, whose count is cheap."""
+    n = df.limit(rows + 1).count() if known is None else known
+    return F.broadcast(df) if n <= rows else df

@@ -33,10 +33,10 @@ def reach(step: DataFrame, roots: DataFrame, max_depth: int) -> DataFrame:
     """
     hop = step.groupBy("graph_id", "id", "next").agg(F.max(lookup(HOP_WEIGHT, F.col("type"), OTHER_HOP) * F.col("strength")).alias("w")).where("id <> next")
     seen = checkpoint(roots.select("graph_id", "root", F.col("root").alias("id"), F.lit(0).alias("distance"), F.lit(1.0).alias("strength"), F.array("root").alias("path")).distinct())
-    front = seen
+    front, n = seen, None
     for d in range(1, max_depth + 1):
         best = F.max(F.struct((F.col("strength") * F.col("w")).alias("strength"), F.concat("path", F.array("next")).alias("path")))
-        new = hop.join(small(front), ["graph_id", "id"]).groupBy("graph_id", "root", F.col("next").alias("id")).agg(best.alias("b")).select("graph_id", "root", "id", F.lit(d).alias("distance"), "b.strength", "b.path")
+        new = hop.join(small(front, n), ["graph_id", "id"]).groupBy("graph_id", "root", F.col("next").alias("id")).agg(best.alias("b")).select("graph_id", "root", "id", F.lit(d).alias("distance"), "b.strength", "b.path")
         front, n = scratch_counted(new.join(seen.select(*KEY), KEY, "left_anti"), F.lit(True))
         if not n:
             break
@@ -52,10 +52,10 @@ def shortest(step: DataFrame, roots: DataFrame, max_nodes: int = 10) -> DataFram
     """
     hop = step.where("id <> next").groupBy("graph_id", "id", "next").agg(F.min_by("weight", "edge_id").alias("w"))
     seen = checkpoint(roots.select("graph_id", "root", F.col("root").alias("id"), F.lit(0).alias("length"), F.lit(0.0).alias("weight"), F.array("root").alias("path")).distinct())
-    front = seen
+    front, n = seen, None
     for d in range(1, max_nodes):
         best = F.min(F.struct(F.concat("path", F.array("next")).alias("path"), (F.col("weight") + F.col("w")).alias("weight")))
-        new = hop.join(small(front), ["graph_id", "id"]).groupBy("graph_id", "root", F.col("next").alias("id")).agg(best.alias("b")).select("graph_id", "root", "id", F.lit(d).alias("length"), "b.weight", "b.path")
+        new = hop.join(small(front, n), ["graph_id", "id"]).groupBy("graph_id", "root", F.col("next").alias("id")).agg(best.alias("b")).select("graph_id", "root", "id", F.lit(d).alias("length"), "b.weight", "b.path")
         front, n = scratch_counted(new.join(seen.select(*KEY), KEY, "left_anti"), F.lit(True))
         if not n:
             break
@@ -66,9 +66,9 @@ def shortest(step: DataFrame, roots: DataFrame, max_nodes: int = 10) -> DataFram
 def hops_to(step: DataFrame, targets: DataFrame, most: int) -> DataFrame:
     """graph_id, id and the least number of hops (at most ``most``) from there to any target."""
     seen = checkpoint(targets.select("graph_id", "id").distinct().withColumn("left", F.lit(0)))
-    front = seen
+    front, n = seen, None
     for d in range(1, most + 1):
-        new = step.select("graph_id", "id", "next").join(small(front.select("graph_id", F.col("id").alias("next"))), ["graph_id", "next"], "left_semi").select("graph_id", "id").distinct().join(seen, ["graph_id", "id"], "left_anti")
+        new = step.select("graph_id", "id", "next").join(small(front.select("graph_id", F.col("id").alias("next")), n), ["graph_id", "next"], "left_semi").select("graph_id", "id").distinct().join(seen, ["graph_id", "id"], "left_anti")
         front, n = scratch_counted(new.withColumn("left", F.lit(d)), F.lit(True))
         if not n:
             break
@@ -90,9 +90,10 @@ def paths(step: DataFrame, roots: DataFrame, targets: DataFrame, max_nodes: int
     found = front.join(goal, ["graph_id", "id"], "left_semi")
     front = front.join(goal, ["graph_id", "id"], "left_anti")
     hop = lookup(HOP_WEIGHT, F.col("type"), OTHER_HOP) * F.col("strength")
+    more = None
     near = step.join(left.select("graph_id", F.col("id").alias("next"), "left"), ["graph_id", "next"]).withColumnRenamed("weight", "_w")
     for n in range(1, max_nodes):
-        new = near.where(F.col("left") <= max_nodes - 1 - n).join(small(front), ["graph_id", "id"]).where(~F.array_contains("path", F.col("next")))
+        new = near.where(F.col("left") <= max_nodes - 1 - n).join(small(front, more), ["graph_id", "id"]).where(~F.array_contains("path", F.col("next")))
         new = new.select(
             "graph_id", "root", F.col("next").alias("id"), F.concat("path", F.array("next")).alias("path"), (F.col("weight") + F.col("_w")).alias("weight"),
             (F.col("product") * hop).alias("product"), F.concat("types", F.array("type")).alias("types"),

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import hashlib
-
 import random
 
 from graphloom.operators import rewrite as rw, traverse as tr
