@@ -550,12 +550,6 @@ def _(s, d):
     return QUERIES["r6_smells"](s, d).groupBy("smell").agg(F.count("*").alias("n"))
 
 
-@query("r9_report")
-def _(s, d):
-    n, e = scratch_table(nodes(s, d), "nodes"), scratch_table(edges(s, d), "edges")
-    return risk.enhanced_report(elements(s, d), n, e)
-
-
 _SECURITY = " UNION ALL ".join(f"SELECT id, '{n}' AS rule, '{lv}' AS level, len(regexp_extract_all(text, '(?is)" + p.replace("'", "''") + "')) AS matches FROM t" for n, p, lv in SECURITY_RULES)
 
 
@@ -564,6 +558,21 @@ def _(s, d):
     return risk.security_scan(elements(s, d)).groupBy("id", "rule", "level").agg(F.count("*").alias("matches"))
 
 
+_UP = "e1 AS (SELECT DISTINCT graph_id, source_id AS id, target_id AS up FROM edges_c WHERE type = 'inherits' AND source_id <> target_id), w1 AS (SELECT DISTINCT graph_id, id FROM e1), " + ", ".join(f"w{i} AS (SELECT DISTINCT e1.graph_id, e1.id FROM e1 JOIN w{i - 1} w ON w.graph_id = e1.graph_id AND w.id = e1.up)" for i in range(2, 4))
+
+
+@query("r9_report", q.with_(q.ELEMENTS, q.NODES, q.EDGES, _DEF, _ENVY, _UP, "t AS (SELECT id, CASE WHEN length(docstring) > 0 THEN docstring ELSE code END AS text FROM elements_c)", _CYCLE.format(types="'depends', 'imports'").replace("len(w.path) < 4", "len(w.path) < 10"), recursive=True) + f"""SELECT * FROM (
+  SELECT 'security' AS category, rule AS kind, level, sum(matches)::BIGINT AS findings FROM ({_SECURITY}) GROUP BY rule, level
+  UNION ALL SELECT 'architecture', 'circular_dependency', 'high', count(*) FROM ({_CYCLE_OUT})
+  UNION ALL SELECT 'architecture', 'god_class', 'high', count(*) FROM (SELECT 1 FROM d GROUP BY graph_id, source_id HAVING count(*) > 2)
+  UNION ALL SELECT 'architecture', 'feature_envy', 'medium', count(*) FROM (SELECT 1 FROM per GROUP BY graph_id, id HAVING sum(n) > 2 AND max(n) / sum(n) > 0.5)
+  UNION ALL SELECT 'architecture', 'deep_inheritance', 'medium', count(*) FROM nodes_c WHERE type = 'class' AND (graph_id, id) IN (SELECT (graph_id, id) FROM w3)
+  UNION ALL SELECT 'quality', 'complex_functions', 'medium', count(*) FROM (SELECT 1 FROM nodes_c WHERE type IN ('method', 'function') GROUP BY graph_id HAVING count(*) FILTER (complexity > 10) > 0 OR coalesce(round(avg(complexity) FILTER (complexity > 0), 6), 0) > 8)) WHERE findings > 0""")
+def _(s, d):
+    n, e = scratch_table(nodes(s, d), "nodes"), scratch_table(edges(s, d), "edges")
+    return risk.enhanced_report(elements(s, d), n, e, max_depth=3, max_methods=2, least_calls=2, least_share=0.5)
+
+
 @query("r13_categories", q.with_(q.ISSUES) + "SELECT category, count(*) AS issues, count(DISTINCT level) AS levels FROM issues_c GROUP BY 1")
 def _(s, d):
     return risk.categories(issues(s, d))
@@ -806,7 +815,12 @@ def _(s, d):
     return tx.module_documents(elements(s, d))
 
 
-@query("a6_classes")
+_SIG0 = _SIG.replace("|| name ||", "|| coalesce(name, '') ||")
+
+
+@query("a6_classes", q.with_(q.ELEMENTS, "c AS (SELECT id, '# ' || coalesce(name, '') || CASE WHEN length(docstring) > 0 THEN chr(10) || docstring ELSE '' END AS head FROM elements_c WHERE type IN ('class', 'struct', 'interface'))",
+    f"g AS (SELECT lower(trim(parent_id)) AS up, line_number AS n, id AS k, '- ' || {_SIG0} AS line FROM elements_c WHERE type IN ('function', 'method') AND parent_id IS NOT NULL)",
+    "l AS (SELECT up AS id, string_agg(line, chr(10) ORDER BY n NULLS FIRST, k) AS lines FROM g GROUP BY up)") + "SELECT c.id, head || coalesce(chr(10) || lines, '') AS document FROM c LEFT JOIN l ON l.id = c.id")
 def _(s, d):
     return tx.class_documents(elements(s, d))
 
