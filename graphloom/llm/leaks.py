@@ -12,6 +12,7 @@ import math
 import re
 from bisect import bisect_right
 from collections import Counter, defaultdict
+from itertools import accumulate
 
 import ahocorasick
 import numpy as np
@@ -37,12 +38,16 @@ COMMON, OWN = 0.05, 0.75
 STOCK_ITEMS = 3
 #: Words of the shortest instruction; a shorter opening is part of the passage.
 STOCK_WORDS = 5
+#: Weight of the end of an item, more than all its words have.
+END = 1e6
 #: Items in one automaton; more are taken in blocks of so many, each one pass over the documents.
 BLOCK = 20_000
 
 _ESCAPE = re.compile(r"\\[nrt\"'\\/]|\\u[0-9a-f]{4}|&(?:quot|amp|lt|gt|apos|nbsp|#\d+);|</?\w+[^<>]*>")
 _HYPHEN = re.compile(r"(?<=[^\W\d_])-[ \t]*\r?\n[ \t]*(?:[#*>/+|-]+[ \t]*)?(?=[^\W\d_])")
-_OTHER = re.compile(r"[\W_]+")
+_WORD = re.compile(r"[^\W_]+")
+#: For ASCII texts, the same by bytes.
+_BLANK = bytes(c if chr(c).isalnum() and c < 128 else 32 for c in range(256))
 _SENTENCE = re.compile(r"(?<=[.?!])\s+|\n+")
 
 
@@ -53,7 +58,8 @@ def normal(text: str) -> str:
         text = _ESCAPE.sub(" ", text)
     if "-" in text:
         text = _HYPHEN.sub("", text)
-    return f" {_OTHER.sub(' ', text).strip()} "
+    words = text.encode().translate(_BLANK).decode().split() if text.isascii() else _WORD.findall(text)
+    return f" {' '.join(words)} "
 
 
 def sentences(text: str | None) -> list[str]:
@@ -120,7 +126,7 @@ class Finder:
         self.number: dict[str, int] = {}  # of each word of an item; other words have none
         self.words: dict[int, list[int]] = {}
         self.distinct: dict[int, list[bool]] = {}
-        self.arrays: dict[int, tuple[np.ndarray, np.ndarray]] = {}  # both as arrays
+        self.arrays: dict[int, tuple[np.ndarray, np.ndarray]] = {}  # both as arrays, ended by a word that is never there
         where: dict[str, list[tuple[int, int]]] = defaultdict(list)
         for i, words in items:
             self.words[i] = [self.number.setdefault(w, len(self.number)) for w in words]
@@ -129,10 +135,10 @@ class Finder:
                 if " ".join(words[k : k + 3]) in common:
                     own[k : k + 3] = [False] * 3
             self.distinct[i] = own
-            self.arrays[i] = np.array(self.words[i], dtype=np.int64), np.array(own, dtype=np.float64)
+            self.arrays[i] = np.array([*self.words[i], -1], dtype=np.int64), np.array([*own, END], dtype=np.float64)
             for p in range(0, len(words) - PIECE + 1, PIECE):
                 where[" " + " ".join(words[p : p + PIECE]) + " "].append((i, p))
-        self.there = np.zeros(len(self.number))  # words of the text at hand
+        self.there = np.zeros(len(self.number) + 1)  # words of the text at hand; the last is none
         self.automaton = ahocorasick.Automaton()
         for piece, at in where.items():
             self.automaton.add_word(piece, (len(piece), at))
@@ -155,28 +161,32 @@ class Finder:
                 hits[i].append((end - n + 1, p))
         if not hits:
             return {}
-        words, starts, at = line.split(), [], 0
-        for w in words:
-            starts.append(at)
-            at += len(w) + 1
-        doc = [self.number.get(w, -1) for w in words]
-        out, known = {}, [w for w in {*doc} if w >= 0]
+        words, number = line.split(), self.number.get
+        doc = [number(w, -1) for w in words]
+        out, known = {}, {*doc}
+        known.discard(-1)
+        known = list(known)
         self.there[known] = 1
-        hits = {i: h for i, h in hits.items() if self.may(i, self.there)}
+        near = self.may([*hits], self.there)
         self.there[known] = 0
-        for i, h in hits.items():
-            own = sorted((bisect_right(starts, c) - 1, p) for c, p in h)
+        if not near:
+            return {}
+        starts = [0, *accumulate(len(w) + 1 for w in words)]
+        for i in near:
+            own = sorted((bisect_right(starts, c) - 1, p) for c, p in hits[i])
             if n := self.longest(self.words[i], self.distinct[i], doc, own):
                 out[i] = n
         return out
 
-    def may(self, i: int, there: np.ndarray) -> bool:
-        """Whether LEAST - EDGE successive words of the item exist of whose distinctive ones enough are marked as there."""
-        words, own = self.arrays[i]
+    def may(self, items: list[int], there: np.ndarray) -> list[int]:
+        """The items that have LEAST - EDGE successive words of whose distinctive ones enough are marked as there."""
+        words, own = (np.concatenate([self.arrays[i][k] for i in items]) for k in (0, 1))
         sums = np.zeros(len(words) + 1)
-        np.cumsum(own * (there[words] - OWN), out=sums[1:])
+        np.cumsum(own * (there[words] - OWN), out=sums[1:])  # each item's are below all before, by its end word
         n = LEAST - EDGE
-        return len(words) >= n and bool((sums[n:] >= np.minimum.accumulate(sums)[:-n] - 1e-9).any())
+        ends = np.flatnonzero(sums[n:] >= np.minimum.accumulate(sums)[:-n] - 1e-9) + n - 1
+        item = np.searchsorted(np.cumsum([len(self.arrays[i][0]) for i in items]), ends, side="right")
+        return [items[k] for k in dict.fromkeys(item.tolist())]
 
     def longest(self, item: list[int], distinct: list[bool], doc: list[int], hits: list[tuple[int, int]]) -> int:
         """The words of the longest passage around the hits, which go by their places in the document."""
@@ -252,6 +262,8 @@ class Finder:
                 if r > a and r > top[0]:
                     top = (r, r + g)
             best.append(top)
+            if top[0] == rows:  # no errors more find more
+                return best + [top] * (BUDGET - e)
             reached = now
         return best
 

@@ -3,6 +3,9 @@
 from __future__ import annotations
 
 import random
+import re
+
+import numpy as np
 
 from graphloom.llm import leaks
 
@@ -72,3 +75,26 @@ def test_blocks_do_not_change_the_result(spark):
     d, i = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items + items[:5], "item_id long, text string")
     found = [sorted(map(tuple, leaks.leaks(d, i, block).collect())) for block in (10, 30, 20_000)]
     assert found[0] == found[1] == found[2] and len(found[0]) > 50
+
+
+def test_many_items_are_looked_at_at_once():
+    """As one by one: 24 successive words of whose distinctive ones three quarters are there; shorter items never are."""
+    rnd = random.Random(9)
+    items = [(i, [f"w{rnd.randrange(60)}" for _ in range(rnd.choice([5, 23, 24, 30, 80]))]) for i in range(60)]
+    finder = leaks.Finder(items, {" ".join(w[3:6]) for _, w in items})
+    n = leaks.LEAST - leaks.EDGE
+    for share in (0.5, 0.7, 0.75, 0.9):
+        there = np.array([float(rnd.random() < share) for _ in finder.number] + [0.0])
+        want = []
+        for i, words in items:
+            own = [(there[finder.number[w]] - leaks.OWN) * d for w, d in zip(words, finder.distinct[i])]
+            if any(sum(own[a:b]) >= 0 for a in range(len(own)) for b in range(a + n, len(own) + 1)):
+                want.append(i)
+        assert finder.may([i for i, _ in items], there) == want
+
+
+def test_words_of_ascii_and_other_texts():
+    other = re.compile(r"[\W_]+")
+    for text in ["", " _ ", "a_b\x00c\x1fd-2", "Ärger²_über ſ½ x", "snake_case\tAND\r\nmore..", "".join(map(chr, range(128))), "".join(map(chr, range(0x250)))]:
+        plain = text.replace("\\", " ").replace("&", " ").replace("<", " ").replace("-", " ")
+        assert leaks.normal(plain) == f" {other.sub(' ', plain.lower()).strip()} "
